@@ -126,7 +126,7 @@ _ORG_WORD = re.compile(
     r"(?i)\b(?:univ\w*|unversity|inst\w*|poly\w*|coll\w*|acad\w*|lab\w*|centers?|centre|ctr|tech\w*|school|department|dept|faculty"
     r"|group|hospital|college|research|res|science|sci|arts|design|campus|foundation|company|inc|ltd|gmbh|u|of|de|st|state|med|medical|natl|national)\b"
 )
-_PART = re.compile(r"(?i)^(?:the\s+)?(?:(?:school|faculty|department|dept\.?|division|div\.?|chair|section|unit|institute for|laborator(?:y|ies) (?:for|of)|lab for)\s+(?:of|for)?\s*.+|[\w/& -]+\s(?:group|lab|team|unit))$")
+_PART = re.compile(r"(?i)^(?:the\s+)?(?:(?:school|faculty|department|dept\.?|division|div\.?|chair|section|unit|institute for|laborator(?:y|ies) (?:for|of)|lab for)\s+(?:of|for)?\s*.+|[\w/& -]+\s(?:group|team|unit)|(?!national|natl|research)[\w/]+\slab)$")
 
 
 def _joins_people(left: str, right: str) -> bool:
