@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.mapping import map_to_list
 from foliospark.llm.names import author_entities, org_entities, same_pairs
+from foliospark.llm.neighbours import nearest
+from foliospark.llm.scans import repairs
 from foliospark.operators.split_values import split_values
 from foliospark.sources.tables import checkpointed, load
 
@@ -21,6 +23,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_pairs(authors, "author").unionByName(same_pairs(orgs, "aff"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every repair of scanned titles, abstracts and references."""
+    return repairs(load(spark, d, "papers").select("f", "title", "abstract", "refs"), "f", ["title", "abstract", "refs"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of figures of which one is among the 8 nearest of the other."""
+    near = nearest(load(spark, d, "figures").select("id", "x", "y", "z"), "id", ["x", "y", "z"], 8)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every organisation written in papers.aff with its entry of institutions, or -1."""
     papers = load(spark, d, "papers").select("f", "aff")
@@ -28,5 +41,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(values, "value", load(spark, d, "institutions")).select("f", "pos", "inst_id")
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
