@@ -14,13 +14,18 @@ class BoostedTrees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
+    def _cuts(self, v: np.ndarray) -> np.ndarray:
+        """Between all values where there are few, for a rare flag lies beyond every quantile."""
+        u = np.unique(v[~np.isnan(v)])
+        return (u[1:] + u[:-1]) / 2 if len(u) <= self.bins else np.unique(np.quantile(u, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         x = np.where(np.isnan(x), -np.inf, x)
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         x, y = np.asarray(x, float), np.asarray(y, float)
-        self.cuts = [np.unique(np.nanquantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.cuts = [self._cuts(x[:, j]) for j in range(x.shape[1])]
         b = self._binned(x)
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))

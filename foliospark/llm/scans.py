@@ -26,7 +26,7 @@ from foliospark.llm.mapping import levenshtein
 from foliospark.sources.tables import checkpointed, present
 
 #: Bounds of the training samples: texts for the line models, words for the ranker.
-SAMPLE_TEXTS, SAMPLE_WORDS = 600, 1500
+SAMPLE_TEXTS, SAMPLE_WORDS = 900, 1500
 #: A shape counts as known if at least this share of the papers has it, so at most lines-per-paper / share are.
 SHAPE_SHARE = 1e-4
 #: A candidate must be in so many times the papers that the word is in.
@@ -45,9 +45,10 @@ _BAD = {}
 for _b, _g in CONFUSIONS:
     _BAD.setdefault(_b, []).append(_g)
 _LEAD, _TAIL = re.compile(r"^(?:\[\d+\]|\(\d+\))?[\"'“‘(\[{•]*"), re.compile(r"[\"'”’)\]},.;:?]*$")
+_SPACE = re.compile(r"\s+|[;|]+(?=\S)")
 _ROMAN = re.compile(r"^[ivxlc]+$")
 _PAGE = re.compile(r"^(?:[—–-]\s*)?(?:page|pg\.?|p\.?|seite)?\s*[\[(]?(\d{1,5}|[ivxlc]{1,8})[\])]?(?:\s*(?:/|of)\s*\d{1,5})?(?:\s*[—–-])?$", re.I)
-FEATURES = 19
+FEATURES = 20
 
 
 def word(token: str) -> str:
@@ -80,7 +81,7 @@ def line_features(lines: list[str], known: dict[str, float], field: str) -> np.n
         out[i] = (
             sum(c.isalpha() for c in s) / len(s), page is not None, bool(page and _ROMAN.match(page[1].lower())), len(s) / width, known.get(shape(s), -14.0),
             "et al" in s.lower(), sum(x[0].isupper() for x in letters) / max(1, len(letters)), i > 0 and not stripped[i - 1], i + 1 < len(lines) and not stripped[i + 1],
-            _ends(prev, ".!?;:\""), _ends(prev, ","), _ends(prev, MARKS), nxt[:1].islower(), _ends(s, ".;:"), _ends(s, ","), len(w), field == "refs", s[0].isdigit() or s[-1].isdigit(), at == 0 or at + 1 == len(full),
+            _ends(prev, ".!?;:\""), _ends(prev, ","), _ends(prev, MARKS), nxt[:1].islower(), _ends(s, ".;:"), _ends(s, ","), len(w), ("abstract", "refs", "title").index(field) if field in ("abstract", "refs", "title") else 3, sum(c.isupper() for c in s) / max(1, sum(c.isalpha() for c in s)), s[0].isdigit() or s[-1].isdigit(), at == 0 or at + 1 == len(full),
         )
     return out
 
@@ -116,24 +117,28 @@ def _wrap(text: str, width: int, rng: np.random.Generator) -> tuple[list[str], l
     return lines, broken
 
 
-def _furniture(titles: list[str], rng: np.random.Generator) -> tuple[str, str]:
+def _furniture(titles: list[str], papers: list[str], rng: np.random.Generator) -> tuple[str, str]:
     n, t = int(rng.integers(1, 4000)), titles[int(rng.integers(len(titles)))]
+    own, cut = papers[int(rng.integers(len(papers)))] if papers else t, int(rng.integers(32, 64))
+    name = "".join(rng.permutation(list(t.split()[0].lower()))).capitalize()
+    name = name.upper() if rng.random() < 0.15 else name.lower() if rng.random() < 0.1 else name
     if rng.random() < 0.5:
-        heads = [t, t.upper(), f"{t}   {n}", f"{n}   {t}", f"{t}, Vol. {n % 60}", f"Preprint - {t}", f"{t.split()[0]} et al.  {n}", f"{t.split()[0].upper()} ET AL.", f"{n} {t}"]
+        heads = [t, t.upper(), f"{t}   {n}", f"{n}   {t}", f"{t}, Vol. {n % 60}", f"Preprint - {t}", f"{name} et al.  {n}", f"{name} et al.: {own}"[:cut], f"{name} et al.: {own}"[:cut], own.upper()[:cut], own.upper()[:cut], f"{n} {t}"]
         return heads[int(rng.integers(len(heads)))], "header"
     pages = [f"{n}", f"— {n} —", f"- {n} -", f"Page {n}", f"p. {n}", f"Pg {n}", f"{n} / {n + 3}", f"{n} of {n + 9}", f"[{n}]", "ivx"[n % 3] * (n % 3 + 1), "xiv", "vii"]
     return pages[int(rng.integers(len(pages)))], "pageno"
 
 
-def train_lines(texts: list[tuple[str, str]], titles: list[str], known: dict[str, float], seed: int = 7) -> dict[str, BoostedTrees]:
+def train_lines(texts: list[tuple[str, str]], titles: list[str], papers: list[str], known: dict[str, float], seed: int = 7) -> dict[str, BoostedTrees]:
     """Models header, pageno and join, from clean texts (field, text) that are wrapped, broken and furnished here.
 
-    Lists of references are wrapped without furniture: lines of them look like headers and are body.
+    titles: of journals, papers: of papers; running headers are made of them. Titles and lists of references are wrapped
+    without furniture: lines of them look like headers and are body.
     """
     rng = np.random.default_rng(seed)
     xs, ys, px, py = [], [], [], []
     for field, text in texts:
-        lines, broken = _wrap(text, int(rng.integers(38, 90)), rng)
+        lines, broken = _wrap(text, int(rng.integers(38, 90) if field != "title" else rng.integers(18, 50)), rng)
         for i, b in enumerate(broken[:-1]):
             if _ends(lines[i], MARKS):
                 px.append(pair_features(lines[i], lines[i + 1]))
@@ -142,7 +147,7 @@ def train_lines(texts: list[tuple[str, str]], titles: list[str], known: dict[str
         if field == "abstract" and titles:
             for _ in range(1 + int(rng.random() < 0.3)):
                 at = int(rng.integers(0, len(lines) + 1))
-                line, kind = _furniture(titles, rng)
+                line, kind = _furniture(titles, papers, rng)
                 block = [(line, kind)]
                 if rng.random() < 0.5:
                     block = [("", "body"), *block, ("", "body")]
@@ -182,7 +187,8 @@ def read_page(text: str, field: str, models: dict[str, BoostedTrees], known: dic
     breaks: list[tuple[str, str]] = []
     carried = None  # the left half of a broken word
     for i, line in enumerate(body):
-        w = line.split()
+        w = _SPACE.split(line.strip())
+        w = [x for x in w if x]
         if not w:
             continue
         if carried is not None:
@@ -191,7 +197,7 @@ def read_page(text: str, field: str, models: dict[str, BoostedTrees], known: dic
             w, carried = w[1:], None
             if not w:
                 continue
-        if i + 1 < len(body) and len(w[-1]) > 1 and w[-1][-1] in MARKS and body[i + 1].strip() and models["join"].score(np.array([pair_features(line, body[i + 1])]))[0] > 0:
+        if i + 1 < len(body) and w and len(w[-1]) > 1 and w[-1][-1] in MARKS and body[i + 1].strip() and models["join"].score(np.array([pair_features(line, body[i + 1])]))[0] > 0:
             carried = _LEAD.sub("", w[-1][:-1])
             w = w[:-1]
         tokens += w
@@ -338,11 +344,11 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     shapes = long.filter(F.col("text").rlike(r"[\r\n]")).select(line).select(F.lower(s).alias("s")).filter("s <> '' and length(s) < 90")
     least = max(3, math.ceil(total * SHAPE_SHARE))
     known = {r[0]: math.log(r[1] / total) for r in shapes.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
-    clean = long.filter(~F.col("text").rlike(r"[\r\n]") & (F.length("text") > 200) & F.col("field").isin("abstract", "refs"))
+    clean = long.filter(~F.col("text").rlike(r"[\r\n]") & (F.length("text") > F.when(F.col("field") == "title", 20).otherwise(200)))
     sample = [(r[0], r[1]) for r in clean.orderBy(F.xxhash64("k", "field"), "k").limit(SAMPLE_TEXTS).select("field", "text").collect()]
     found = Counter(t for f, x in sample if f == "refs" for t in re.findall(r"(?:\bin |[,.]\" |\. )([A-Z][^,.\d\"]{8,60}), (?:pp|vol)\.", x))
     titles = [t for t, _ in found.most_common(60)]
-    models = train_lines(sample, titles, known)
+    models = train_lines(sample, titles, [x for f, x in sample if f == "title"], known)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
