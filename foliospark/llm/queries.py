@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.chunking import split_items
 from foliospark.llm.mapping import map_to_list
+from foliospark.llm.mixing import memberships, mix, reached
 from foliospark.llm.names import author_entities, org_entities, same_pairs
 from foliospark.llm.neighbours import nearest
+from foliospark.llm.packing import pack
 from foliospark.llm.scans import repairs
+from foliospark.llm.tokens import sized
 from foliospark.operators.split_values import split_values
 from foliospark.sources.tables import checkpointed, load
 
@@ -41,5 +45,54 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(values, "value", load(spark, d, "institutions")).select("f", "pos", "inst_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    limits = [r[0] for r in load(spark, d, "budgets").filter("task = 'pack'").select("size_limit").distinct().orderBy("size_limit").collect()]
+    items = checkpointed(sized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
+    out = None
+    for limit in limits:
+        one = pack(items, limit).select(F.lit(limit).alias("size_limit"), F.col("id").alias("doc_id"), "piece", "container", "slot", "first_token", F.col("n").alias("n_tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of each pack size: (size_limit, doc_id, piece, container, slot, first_token, n_tokens)."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per pack size the containers, the tokens in them and the share of their room that is used."""
+    return _packed(spark, d).groupBy("size_limit").agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens")).withColumn("fill", F.col("tokens") / F.col("containers") / F.col("size_limit"))
+
+
+def _mixed(spark: SparkSession, d: str, trust_labels: bool = True) -> tuple[DataFrame, DataFrame]:
+    targets = load(spark, d, "mix_targets")
+    domains = [r[0] for r in targets.select("source").distinct().orderBy("source").collect()]
+    docs = load(spark, d, "documents").select("doc_id", "text", "source")
+    members = memberships(docs, "doc_id", "text", "source", domains, trust_labels=trust_labels)
+    return mix(members, targets), targets
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture: (doc_id, source, n_tokens, repeats)."""
+    return _mixed(spark, d)[0].select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "repeats")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per source its target share and the share reached by the mixture."""
+    return reached(*_mixed(spark, d))
+
+
+def p8_soft_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mixture that knows sources only by the classifier, held against the written sources."""
+    return reached(*_mixed(spark, d, trust_labels=False))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the documents longer than each split size."""
+    sizes = [(r[0], r[1] or 0) for r in load(spark, d, "budgets").filter("task = 'split'").select("size_limit", "overlap").distinct().orderBy("size_limit").collect()]
+    return split_items(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", sizes).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_soft_shares": p8_soft_shares, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
