@@ -25,6 +25,8 @@ HASHED = 1 << 12
 #: Cells of a hash histogram; two rounds of cells reach single documents up to their square.
 CELLS = 1 << 12
 STEPS, CLOSE = 60, 1e-6
+#: Rounds in which shorter documents fill what is left.
+FILLS = 4
 
 
 def memberships(docs: DataFrame, id_col: str, text_col: str, source_col: str, domains: list[str], vocabulary: str = DEFAULT_VOCABULARY, trust_labels: bool = True) -> DataFrame:
@@ -146,31 +148,46 @@ def mix(members: DataFrame, targets: DataFrame, total: float | None = None) -> D
     m = members.filter("n > 0").select("id", "source", "n", F.greatest(F.lit(0.0), F.least(dot(potential), cap)).alias("rate"), top.alias("g"), F.pmod(F.xxhash64("id"), F.lit(CELLS * CELLS)).alias("u"))
     m = m.filter("rate > 0").withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
     m = checkpointed(m)
-    # a document gets one repeat more if hash / part falls below its stratum's threshold, which is near 1
-    m = m.withColumn("key", F.when(F.col("part") > 1e-12, F.col("u") / (CELLS * CELLS) / F.col("part")))
+    # a document gets one repeat more if hash / part falls below its stratum's threshold, which is near 1; what a long
+    # document leaves open is filled in the same way by ever shorter ones
+    key = F.when(F.col("part") > 1e-12, F.col("u") / (CELLS * CELLS) / F.col("part"))
+    m = m.withColumn("key", key).withColumn("extra", F.lit(0))
     want = {r[0]: r[1] for r in m.groupBy("g").agg(F.sum(F.col("part") * F.col("n"))).collect()}
-    low = {g: (0.0, 2.0) for g in want}  # the cell that holds the threshold
-    below = dict.fromkeys(want, 0.0)
-    for _ in range(3):
-        if not low:
+    for _ in range(FILLS):
+        limit, used = _thresholds(m.filter("extra = 0 and key is not null"), want)
+        if not any(used.values()):
             break
-        lo, width = (F.create_map(*(F.lit(x) for g, c in low.items() for x in (g, f(c)))) for f in (lambda c: c[0], lambda c: c[1]))
-        cell = F.floor((F.col("key") - lo[F.col("g")]) / width[F.col("g")] * CELLS)
+        chosen = (F.col("extra") == 0) & (F.col("key") < _by_group(limit)) & (F.col("n") <= _by_group(want))
+        m = m.withColumn("extra", F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(F.col("extra")))
+        want = {g: w - used.get(g, 0.0) for g, w in want.items()}
+    return m.select("id", "source", "n", (F.col("base") + F.col("extra")).cast("int").alias("repeats")).filter("repeats > 0")
+
+
+def _by_group(numbers: dict[int, float]):
+    return F.create_map(*(F.lit(x) for g, v in numbers.items() for x in (g, float(v))))[F.col("g")]
+
+
+def _thresholds(rows: DataFrame, want: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
+    """Per stratum the greatest threshold on key, to 1 / CELLS ** 2, below which rows no longer than what is wanted have
+    no more tokens than that, and these tokens."""
+    if not want:
+        return {}, {}
+    low, below = {g: (0.0, 64.0) for g in want}, dict.fromkeys(want, 0.0)
+    for _ in range(3):
+        place = (F.col("key") - _by_group({g: c[0] for g, c in low.items()})) / _by_group({g: c[1] for g, c in low.items()})
+        cells = rows.filter(F.col("n") <= _by_group(want)).select("g", F.floor(place * CELLS).alias("cell"), "n").filter((F.col("cell") >= 0) & (F.col("cell") < CELLS))
         hist: dict[int, list[tuple[int, float]]] = {}
-        for r in m.filter("key is not null").select("g", cell.alias("cell"), "n").filter((F.col("cell") >= 0) & (F.col("cell") < CELLS)).groupBy("g", "cell").agg(F.sum("n").alias("s")).collect():
+        for r in cells.groupBy("g", "cell").agg(F.sum("n").alias("s")).collect():  # strata x CELLS rows at most
             hist.setdefault(r[0], []).append((r[1], float(r[2])))
-        for g, cells in hist.items():
+        for g in want:
             start, step = low[g][0], low[g][1] / CELLS
-            for c, s in sorted(cells):
+            low[g] = (start + low[g][1], step)
+            for c, s in sorted(hist.get(g, [])):
                 if below[g] + s > want[g]:
                     low[g] = (start + c * step, step)
                     break
                 below[g] += s
-            else:
-                low[g] = (start + low[g][1], step)
-    limit = F.create_map(*(F.lit(x) for g, c in low.items() for x in (g, c[0]))) if low else None
-    extra = F.when(F.col("key") < limit[F.col("g")], 1).otherwise(0) if low else F.lit(0)
-    return m.select("id", "source", "n", (F.col("base") + extra).cast("int").alias("repeats")).filter("repeats > 0")
+    return {g: c[0] for g, c in low.items()}, below
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
