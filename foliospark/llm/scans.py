@@ -167,37 +167,57 @@ def train_lines(texts: list[tuple[str, str]], titles: list[str], papers: list[st
     return {k: BoostedTrees().fit(x, y == k) for k in ("header", "pageno")} | {"join": BoostedTrees(rounds=20).fit(*pair)}
 
 
-def read_page(text: str, field: str, models: dict[str, BoostedTrees], known: dict[str, float]) -> tuple[bool, bool, list[tuple[str, bool]], list[tuple[str, str]], list[str]]:
-    """(has a header, has a page number, distinct (word, may be capital), distinct (left, right) of broken words, body lines)."""
-    lines = re.split(r"\r\n|\r|\n", text)
-    header = pageno = False
-    body = lines
-    if len(lines) > 1:
-        f = line_features(lines, known, field)
-        h, p = models["header"].score(f), models["pageno"].score(f)
-        body = []
-        for i, line in enumerate(lines):
-            if not line.strip():
-                continue
-            if max(h[i], p[i]) > 0:
-                header, pageno = header or h[i] >= p[i], pageno or p[i] > h[i]
-            else:
-                body.append(line)
+def read_pages(texts: list[str], fields: list[str], models: dict[str, BoostedTrees], known: dict[str, float]) -> list[tuple[bool, bool, list[tuple[str, bool]], list[tuple[str, str]], list[str]]]:
+    """Per text (has a header, has a page number, distinct (word, may be capital), distinct (left, right) of broken words,
+    body lines). The models score all lines of all texts at once."""
+    pages = [re.split(r"\r\n|\r|\n", t) for t in texts]
+    rows = [line_features(p, known, f) if len(p) > 1 else np.zeros((len(p), FEATURES)) for p, f in zip(pages, fields)]
+    ends = np.cumsum([0, *map(len, pages)])
+    x = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
+    h, p = models["header"].score(x), models["pageno"].score(x)
+    marks: list[tuple[bool, bool]] = []
+    bodies: list[list[str]] = []
+    pairs: list[list[float]] = []
+    for k, lines in enumerate(pages):
+        header = pageno = False
+        body = lines
+        if len(lines) > 1:
+            body = []
+            for i, line in enumerate(lines, ends[k]):
+                if not line.strip():
+                    continue
+                if max(h[i], p[i]) > 0:
+                    header, pageno = bool(header or h[i] >= p[i]), bool(pageno or p[i] > h[i])
+                else:
+                    body.append(line)
+        marks.append((header, pageno))
+        bodies.append(body)
+        pairs += [pair_features(a, b) for a, b in zip(body, body[1:]) if _marked(a) and b.strip()]
+    joins = iter((models["join"].score(np.array(pairs)) > 0).tolist() if pairs else [])
+    out = []
+    for (header, pageno), body in zip(marks, bodies):
+        goes_on = [_marked(a) and bool(b.strip()) and next(joins) for a, b in zip(body, body[1:])]
+        out.append((header, pageno, *_words(body, [*goes_on, False]), body))
+    return out
+
+
+def _marked(line: str) -> bool:
+    s = line.rstrip()
+    return len(s) > 1 and s[-1] in MARKS and not s[-2].isspace()
+
+
+def _words(body: list[str], goes_on: list[bool]) -> tuple[list[tuple[str, bool]], list[tuple[str, str]]]:
+    """Distinct (word, may be capital) and distinct (left, right) of the words broken after the lines that go on."""
     tokens: list[str] = []
     breaks: list[tuple[str, str]] = []
     carried = None  # the left half of a broken word
-    for i, line in enumerate(body):
-        w = _SPACE.split(line.strip())
-        w = [x for x in w if x]
-        if not w:
-            continue
-        if carried is not None:
+    for line, on in zip(body, goes_on):
+        w = [x for x in _SPACE.split(line.strip()) if x]
+        if w and carried is not None:
             breaks.append((carried, _TAIL.sub("", w[0])))
             tokens.append("\0" + w[0])  # neither half is a word; kept for the sentence end in it
             w, carried = w[1:], None
-            if not w:
-                continue
-        if i + 1 < len(body) and w and len(w[-1]) > 1 and w[-1][-1] in MARKS and body[i + 1].strip() and models["join"].score(np.array([pair_features(line, body[i + 1])]))[0] > 0:
+        if w and on:
             carried = _LEAD.sub("", w[-1][:-1])
             w = w[:-1]
         tokens += w
@@ -209,7 +229,7 @@ def read_page(text: str, field: str, models: dict[str, BoostedTrees], known: dic
         if len(x) > 1 and any(c.isalpha() for c in x):
             start = i == 0 or tokens[i - 1][-1] in ".?\"" or (i + 1 < len(tokens) and tokens[i + 1].lstrip("\0")[:1].isupper() and t[-1] not in ".,;:")
             seen[(x, start)] = None
-    return header, pageno, list(seen), list(dict.fromkeys(b for b in breaks if b[0] and b[1])), body
+    return list(seen), list(dict.fromkeys(b for b in breaks if b[0] and b[1]))
 
 
 def explained(w: str, v: str, sites: int = 2) -> int:
@@ -232,7 +252,7 @@ def explained(w: str, v: str, sites: int = 2) -> int:
 
 def grams(w: str) -> list[str]:
     s = f"##{w}#"
-    return list({s[i : i + 3] for i in range(len(s) - 2)})
+    return sorted({s[i : i + 3] for i in range(len(s) - 2)})
 
 
 def rank_features(w: str, n: float, v: str, nv: float) -> list[float]:
@@ -256,8 +276,12 @@ def train_ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTre
     def near(w: str) -> list[int]:
         return [i for i, k in Counter(i for g in grams(w) for i in index.get(g, ())).most_common(12) if abs(len(words[i][0]) - len(w)) < 3]
 
+    # words that look misread themselves teach nothing: they would count as clean here
+    doubtful = [any(words[j][1] >= RATIO * n and explained(w, words[j][0], 1) < 9 for j in near(w) if words[j][0] != w) for w, n in words]
     x, y = [], []
     for i, (w, n) in enumerate(words):
+        if doubtful[i]:
+            continue
         sites = [(at, g) for g in good for at in range(len(w)) if w.startswith(g, at)]
         for _ in range(3):
             if not sites:
@@ -352,10 +376,8 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, field, text in zip(pdf["k"], pdf["field"], pdf["text"]):
-                header, pageno, seen, breaks, _ = read_page(text, field, models, known)
-                rows.append((k, field, header, pageno, [(w, c) for w, c in seen], [(a, b) for a, b in breaks]))
+            read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), models, known)
+            rows = [(k, field, header, pageno, seen, breaks) for k, field, (header, pageno, seen, breaks, _) in zip(pdf["k"], pdf["field"], read_all)]
             yield pd.DataFrame(rows, columns=["k", "field", "header", "pageno", "seen", "breaks"])
 
     kind = src.schema["k"].dataType.simpleString()
