@@ -23,22 +23,25 @@ from foliospark.llm.tokens import DEFAULT_VOCABULARY, Sizer, SizerSource
 SPAN = 8
 #: The least new tokens of a piece, as a share of the most; landmarks lie this share of the most apart on average.
 LEAST, APART = 0.5, 0.25
-#: A word of more tokens than this is cut into strings of so many characters.
-LONG_WORD, SLICE = 64, 48
+#: A word of more tokens than this, or than a quarter of the least size, is cut into strings of fewer tokens.
+LONG_WORD = 64
 
 
 class Text:
     """A text's words with their places, tokens, boundaries and landmark hashes."""
 
-    def __init__(self, text: str, sizer: Sizer):
+    def __init__(self, text: str, sizer: Sizer, unit: int = LONG_WORD):
         words = sizer.words(text)
-        d = np.fromiter(map(sizer.describe, words), np.int64, len(words))
-        if len(d) and int((d & 0xFFFFF).max()) > LONG_WORD:
+        d = np.fromiter(map(sizer.known.__getitem__, words), np.int64, len(words))
+        self.text = text
+        self.sliced = bool(len(d)) and int((d & 0xFFFFF).max()) > unit
+        if self.sliced:
             cut: list[str] = []
             for w, n in zip(words, (d & 0xFFFFF).tolist()):
-                cut += [w] if n <= LONG_WORD else [w[i : i + SLICE] for i in range(0, len(w), SLICE)]
+                size = unit if w.isascii() else max(1, unit // 4)  # a character has four bytes at most, a token one at least
+                cut += [w] if n <= unit else [w[i : i + size] for i in range(0, len(w), size)]
             words = cut
-            d = np.fromiter(map(sizer.describe, words), np.int64, len(words))
+            d = np.fromiter(map(sizer.known.__getitem__, words), np.int64, len(words))
         self.words, self.sizer, n = words, sizer, len(words)
         self.at = np.zeros(n + 1, np.int64)  # characters before word i
         np.cumsum(np.fromiter(map(len, words), np.int64, n), out=self.at[1:])
@@ -105,15 +108,24 @@ class Text:
             start, had = self.begin(word, overlap)
             room = limit - had
             end = self.cum_list[word] + room
-            if self.cum_list[n] <= end:
-                out.append((start, self.at_list[n], had + self.cum_list[n] - self.cum_list[word]))
+            rest = had + self.cum_list[n] - self.cum_list[word]
+            if self.sliced and self.cum_list[n] <= end:
+                rest = self.sizer.count(self.text[start:])
+            if self.cum_list[n] <= end and rest <= limit:
+                out.append((start, self.at_list[n], rest))
                 return out
-            hi = max(word + 1, bisect_right(self.cum_list, end) - 1)
+            hi = min(n - 1, max(word + 1, bisect_right(self.cum_list, end) - 1))
             lo = min(hi, max(word + 1, bisect_left(self.cum_list, self.cum_list[word] + int(room * LEAST))))
             j = bisect_left(marks, lo)
             mark = marks[j] if j < len(marks) and marks[j] <= hi else hi
             cut = self.near(mark, lo, hi, most // 4)
-            out.append((start, self.at_list[cut], had + self.cum_list[cut] - self.cum_list[word]))
+            n_tokens = had + self.cum_list[cut] - self.cum_list[word]
+            if self.sliced:  # parts of a word may join to other tokens than they have alone
+                n_tokens = self.sizer.count(self.text[start : self.at_list[cut]])
+                while n_tokens > limit and cut > word + 1:
+                    cut = max(word + 1, cut - max(1, (cut - word) // 16))
+                    n_tokens = self.sizer.count(self.text[start : self.at_list[cut]])
+            out.append((start, self.at_list[cut], n_tokens))
             word = cut
 
 
@@ -140,7 +152,7 @@ def split_items(df: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int
             for i, text in zip(pdf["id"], pdf["text"]):
                 if len(text.encode("utf-8", "replace")) <= smallest:  # a token has a byte at least
                     continue
-                t = Text(text, sizer)
+                t = Text(text, sizer, max(4, min(LONG_WORD, smallest // 4)))
                 total = t.cum_list[-1]
                 for limit, overlap in sizes:
                     if total > limit:

@@ -40,9 +40,9 @@ class Sizer:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         # letters and spaces on which the two patterns differ: numbers that are no digits, separators of old terminals
-        odd = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
-        self.odd = re.compile(f"[\x1c-\x1f{re.escape(odd)}]")
-        self.known: dict[str, int] = {}
+        self.odd = frozenset("\x1c\x1d\x1e\x1f") | {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")}
+        #: word -> tokens | class << 20 | hash << 24; class bits: line end, several, ends a sentence, begins with white space
+        self.known = _Known(self)
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; 0 for null and empty ones. Long texts are sized line by line, which changes nothing."""
@@ -52,22 +52,26 @@ class Sizer:
 
     def words(self, text: str) -> list[str]:
         """The text in order, cut where the pattern cuts; joined again it is the text."""
-        if self.odd.search(text):
+        if not self.odd.isdisjoint(set(text)):
             import regex
 
             return regex.findall(PATTERN, text)
         return _FAST.findall(text)
 
-    def describe(self, word: str) -> int:
-        """tokens | class << 20 | hash << 24 of a word; class bits: line end, several, ends a sentence, begins with white space."""
-        v = self.known.get(word)
-        if v is None:
-            n = self.count(word)
-            lines = word.count("\n")
-            kind = (lines > 0) | (lines > 1) << 1 | (word.rstrip("\"')»”")[-1:] in tuple(".!?…:;")) << 2 | word[:1].isspace() << 3
-            v = n | kind << 20 | (zlib.crc32(word.encode("utf-8", "replace")) * 0x9E3779B1 >> 3 & 0x7FFFFFFF) << 24
-            if len(self.known) < KEPT:
-                self.known[word] = v
+
+class _Known(dict):
+    """Describes words as they are met and keeps the first KEPT of them."""
+
+    def __init__(self, sizer: Sizer):
+        super().__init__()
+        self.sizer = sizer
+
+    def __missing__(self, word: str) -> int:
+        lines = word.count("\n")
+        kind = (lines > 0) | (lines > 1) << 1 | (word.rstrip("\"')»”")[-1:] in tuple(".!?…:;")) << 2 | word[:1].isspace() << 3
+        v = self.sizer.count(word) | kind << 20 | (zlib.crc32(word.encode("utf-8", "replace")) * 0x9E3779B1 >> 3 & 0x7FFFFFFF) << 24
+        if len(self) < KEPT:
+            self[word] = v
         return v
 
 
