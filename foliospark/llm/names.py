@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.org_names import fold, normal
 from foliospark.sources.tables import checkpointed
 
+#: Longer forms share a block only with equal ones: leaving out each character in turn would square their length.
+LONGEST = 120
 #: A profile written with more initials than this and than a quarter of the richer one's is a surname of its own.
 OWN_INITIALS = 3
 _TITLE = re.compile(r"^(?:dr|prof|mr|mrs|ms|sir|phd)\.?\s+", re.I)
@@ -100,7 +102,7 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
         rich = state.groupBy("entity").agg(F.sum("weight").alias("weight"), F.max("breadth").alias("breadth"))
         prof = state.select("form", "entity").join(rich, "entity")
         left_out = F.expr("transform(sequence(1, length(form)), i -> concat(substr(form, 1, i - 1), substr(form, i + 1)))")
-        keys = prof.select("entity", "weight", "breadth", "form", F.explode(F.array_distinct(F.concat(F.array("form"), F.when(F.length("form") > 3, left_out).otherwise(F.array().cast("array<string>"))))).alias("key"))
+        keys = prof.select("entity", "weight", "breadth", "form", F.explode(F.array_distinct(F.concat(F.array("form"), F.when(F.length("form").between(4, LONGEST), left_out).otherwise(F.array().cast("array<string>"))))).alias("key"))
         best = keys.groupBy("key").agg(F.max(F.struct("breadth", "weight", "entity")).alias("top"), F.count_distinct("entity").alias("k")).filter("k > 1").drop("k")
         near = keys.join(best, "key").filter("entity <> top.entity")
         near = near.filter((F.levenshtein("form", F.col("top.entity")) <= 2) & ~((F.col("breadth") > own) & (F.col("breadth") * 4 > F.col("top.breadth"))))
