@@ -42,15 +42,21 @@ def live_spans(target: DataFrame, key: Column) -> DataFrame:
     """(key, since, until): the times at which a key has a live row, as disjoint spans; until is exclusive.
 
     Rows are combined per key and loading time before the shuffle, so copies and reloads cost nothing; then spans that
-    touch are merged in one pass in order of time. A row without loaded_at is never live.
+    touch are merged in order of time. A row without loaded_at is never live.
     """
     until = F.coalesce(F.col("deleted_at"), F.lit(FOREVER).cast(target.schema["loaded_at"].dataType))
     rows = target.select(key.alias("key"), F.col("loaded_at").alias("since"), until.alias("until")).filter("key is not null and since is not null and until > since")
     rows = rows.groupBy("key", "since").agg(F.max("until").alias("until"))
-    order = Window.partitionBy("key").orderBy("since")
+    # first within months, so that no task sees all rows of a hot key, then what is left of each key
+    return _merged(_merged(rows.withColumn("month", F.date_trunc("month", "since")), "key", "month").drop("month"), "key")
+
+
+def _merged(rows: DataFrame, *by: str) -> DataFrame:
+    """Overlapping and touching spans of a group become one."""
+    order = Window.partitionBy(*by).orderBy("since")
     before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
     run = rows.withColumn("new", F.coalesce(F.col("since") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    return run.groupBy("key", "run").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("run")
+    return run.groupBy(*by, "run").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("run")
 
 
 def _dead(refs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -33,19 +33,28 @@ def enrich_where(left: DataFrame, right: DataFrame, on: str, condition: Column)
 
 
 def ordinal_ranks(df: DataFrame, group: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """df with `rank`: 1, 2, 3 ... within each group by order, ties as they come in `order`.
+    """df with `rank`: 1, 2, 3 ... within each group by order, ties as they come in `order`."""
+    return running(df, group, order, {"rank": F.lit(1)}, partitions)
+
+
+def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """df with running sums over each group in order, the row itself included.
 
     The order is made by range partitioning over group and order together, so one group may fill many partitions; a
-    row's rank is the number of the group's rows in earlier partitions plus its place in its own. Sizes travel as one
-    row per partition and group.
+    row's sum is that of the group's rows in earlier partitions plus the one inside its own. Totals travel as one row
+    per partition and group.
     """
     spark = df.sparkSession
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = checkpointed(df.repartitionByRange(n, group, *order).withColumn("__p", F.spark_partition_id()))
-    sizes = ranged.groupBy(group, "__p").agg(F.count("*").alias("__k"))
-    before = sizes.select(group, "__p", (F.sum("__k").over(Window.partitionBy(group).orderBy("__p")) - F.col("__k")).alias("__before"))
-    inner = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p", group).orderBy(*order)))
-    return inner.join(before, [group, "__p"]).select(*df.columns, (F.col("__r") + F.col("__before")).alias("rank"))
+    named = df.select("*", *(c.cast("bigint").alias(f"__v_{k}") for k, c in sums.items()))
+    ranged = checkpointed(named.repartitionByRange(n, group, *order).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy(group, "__p").agg(*(F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums))
+    earlier = Window.partitionBy(group).orderBy("__p")
+    before = totals.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), *((F.sum(f"__t_{k}").over(earlier) - F.col(f"__t_{k}")).alias(f"__b_{k}") for k in sums))
+    w = Window.partitionBy("__p", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = ranged.select("*", *(F.sum(f"__v_{k}").over(w).alias(f"__r_{k}") for k in sums))
+    out = inner.join(before, inner[group].eqNullSafe(F.col("__g")) & (inner["__p"] == F.col("__q")))
+    return out.select(*(inner[c] for c in df.columns), *((F.col(f"__r_{k}") + F.col(f"__b_{k}")).alias(k) for k in sums))
 
 
 def sampled_pairs(df: DataFrame, id_col: str, side: Column, n: int, by: Column) -> DataFrame:

@@ -24,6 +24,7 @@ from foliospark.sources.tables import present
 _WHITE = re.compile(r"\s+")
 _MARKER = re.compile(r"^(?:\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}[.)](?=\s|[^\W\d])|[•·▪◦*‣]|[-–—](?=\s))\s*")
 _SPECIAL = re.compile(r'["\\()\[\]{}]|;|\|+|\t|\r\n?|\n|(?<=\s)//?(?=\s)|,|(?<=\s)(?:and|&)(?=\s)')
+_BRACKET = re.compile(r"[()\[\]{}]")
 _HARD = frozenset(";\t\n\r")
 _OPEN, _CLOSE = "([{", ")]}"
 
@@ -33,9 +34,10 @@ def tokens(text: str, soft: frozenset[str] = frozenset()) -> Iterator[tuple[str,
 
     soft: delimiters that count besides ; | / tab and line ends. A quote opens an enclosure only at a value's
     beginning; inside it a doubled quote and a backslashed quote stand for one quote. A quote within a value shields
-    delimiters up to its partner, and is an ordinary character if it has none; the same holds for brackets.
+    delimiters up to its partner, and is an ordinary character if it has none; the same holds for brackets, which nest.
     """
     n, at, start = len(text), 0, 0
+    partners = _partners(text)
     buf: list[str] = []
     quoted = False
     while True:
@@ -56,9 +58,7 @@ def tokens(text: str, soft: frozenset[str] = frozenset()) -> Iterator[tuple[str,
             if close > 0 and not quoted:
                 at = close + 1
         elif t in _OPEN:
-            close = _partner(text, s)
-            if close > 0:
-                at = close + 1
+            at = partners.get(s, at - 1) + 1  # the depth is 0 again behind the partner
         elif t == "\\" or t in _CLOSE:
             at = min(n, e + (t == "\\"))
         elif t[0] in "|/" or t[0] in _HARD or t in soft:
@@ -88,22 +88,23 @@ def _enclosure(text: str, at: int) -> tuple[int, str]:
             return q + 1, "".join(out)
 
 
-def _partner(text: str, at: int) -> int:
-    """Position of the bracket that closes the one at `at`, nested ones skipped; -1 if there is none within the value."""
-    depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
+def _partners(text: str) -> dict[int, int]:
+    """Position of each bracket's partner, in one pass with a stack; brackets without one are left out."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in _BRACKET.finditer(text):
+        i, c = m.start(), m.group()
         if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth -= 1
-            if not depth:
-                return i
-        elif c in ";|\t\n":
-            # a bracket left open ends with its value unless the partner comes first in the same element
-            if depth and text.find(_CLOSE[_OPEN.index(text[at])], i) < 0:
-                return -1
-    return -1
+            stack.append(i)
+        else:
+            kind = _OPEN[_CLOSE.index(c)]
+            k = len(stack) - 1
+            while k >= 0 and text[stack[k]] != kind and len(stack) - k < 8:
+                k -= 1
+            if k >= 0 and text[stack[k]] == kind:
+                out[stack[k]] = i
+                del stack[k:]
+    return out
 
 
 def clean(value: str) -> str:

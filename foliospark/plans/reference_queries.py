@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
@@ -454,9 +454,9 @@ def pair_sample(spark, d):
 @query("SELECT event_id, user_id, row_number() OVER w AS round, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) OVER w AS hits FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def quiz_running_score(spark, d):
     """Rounds and hits so far in each user's log of answers."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.col("event_type").isin("view", "click").cast("int")
-    return load(spark, d, "events").select("event_id", "user_id", F.count("*").over(w).alias("round"), F.sum(hit).over(w).alias("hits"))
+    log = load(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return R.running(log, "user_id", ["ts", "event_id"], {"round": F.lit(1), "hits": hit}).select("event_id", "user_id", "round", "hits")
 
 
 @query("WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, round(100.0 * n / (SELECT max(n) FROM c), 6) AS width, CASE WHEN label LIKE '1%' OR label LIKE '2%' THEN 'high' ELSE 'other' END AS kind FROM c ORDER BY n DESC, label LIMIT 10")
