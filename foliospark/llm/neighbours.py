@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foliospark.sources.tables import checkpointed
 
-CURVES, WINDOW, BLOCK_ROWS = 6, 40, 16_384
+CURVES, WINDOW, BLOCK_ROWS = 6, 72, 16_384
 #: Places with more than this share of all rows are few (1 / share at most) and joined by broadcast.
 CROWDED_SHARE = 1 / 256
 
