@@ -93,6 +93,8 @@ def normal(text: str) -> Org:
     w = words(t)
     if w and w[0] == "technology" and len(w) > 1 and w[1] == "university":
         w[0] = "technical"
+    if len(w) > 1 and w[0] == "tu":
+        w = ["technical", "university", *w[1:]]
     if len(w) == 2 and w[1] == "technology":
         w = [w[0], "institute", "technology"]
     return Org(" ".join(w), acronym, place, False)
