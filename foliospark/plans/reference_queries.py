@@ -39,22 +39,26 @@ def query(sql: str | None = None):
 # --- tables in force ------------------------------------------------------------------------------------------------
 
 
-def figures(spark: SparkSession, d: str) -> DataFrame:
-    f = load(spark, d, "figures").withColumn("edge_", F.col("p.edge"))
-    f = R.current(f, "id", ["clip", "cplx", "gib", "rep", "edge_"]).drop("edge_")
+def figures(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Figures in force with their class, metrics and the given columns; others are never read or shuffled."""
+    keep = dict.fromkeys(["id", "c", *METRICS, "loaded_at", "deleted_at", *cols])
+    f = load(spark, d, "figures").select(*keep, F.col("p.edge").alias("edge_"))
+    f = R.current(f, "id", [*METRICS, "edge_"]).drop("edge_")
     return f.withColumn("is_generated", F.col("c") == 1).withColumn("is_real", (F.col("c") == 0).cast("int"))
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    return figures(spark, d).filter(X.is_number(F.col("x")) & X.is_number(F.col("y")) & X.is_number(F.col("z")))
+def points(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return figures(spark, d, "x", "y", "z", *cols).filter(X.is_number(F.col("x")) & X.is_number(F.col("y")) & X.is_number(F.col("z")))
 
 
-def papers(spark: SparkSession, d: str) -> DataFrame:
-    return R.current(load(spark, d, "papers"), "f", ["closest", "struct", "topic", "cluster"])
+def papers(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Papers in force with cluster, topic, structure, closest title and the given columns."""
+    ties = ["closest", "struct", "topic", "cluster"]
+    return R.current(load(spark, d, "papers").select(*dict.fromkeys(["f", *ties, "loaded_at", "deleted_at", *cols])), "f", ties)
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    return S.unpivot(figures(spark, d), ["id", "is_generated", "is_real"], {k: F.col(f"p.{k}") for k in PIXELS})
+    return S.unpivot(figures(spark, d, "p"), ["id", "is_generated", "is_real"], {k: F.col(f"p.{k}") for k in PIXELS})
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +187,7 @@ def tone_entropy(spark, d):
 def threshold_shares(spark, d):
     """Shares of rows beyond a threshold."""
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    a = figures(spark, d).filter("p is not null").agg(F.count("*").alias("n"), share(F.col("p.ink") < 0.85).alias("inked"), share(F.col("p.white") > 0.95).alias("blank"))
+    a = figures(spark, d, "p").filter("p is not null").agg(F.count("*").alias("n"), share(F.col("p.ink") < 0.85).alias("inked"), share(F.col("p.white") > 0.95).alias("blank"))
     return a.crossJoin(load(spark, d, "lineitem").agg(share(F.col("l_discount") > 0.05).alias("discounted")))  # two single rows
 
 
@@ -282,7 +286,7 @@ def lda_loo_2d(spark, d):
 @query(f"WITH {_PIX}, one AS (SELECT id, feature AS k, v, is_real AS yy FROM pix)" + _LOO1)
 def pixel_loo(spark, d):
     """Leave-one-out hits of each pixel statistic alone."""
-    f = figures(spark, d)
+    f = figures(spark, d, "p")
     flat = f.select("is_real", *(F.col(f"p.{k}").alias(k) for k in PIXELS))
     return reduce(DataFrame.unionByName, [L.leave_one_out(flat.filter(X.is_number(F.col(k))), [k], "is_real", k) for k in PIXELS])
 
@@ -290,7 +294,7 @@ def pixel_loo(spark, d):
 @query()
 def ablation(spark, d):
     """Accuracy of growing feature sets, from the majority class to coordinates with pixel statistics."""
-    f = points(spark, d)
+    f = points(spark, d, "p")
     flat = f.select("is_real", "x", "y", "z", *(F.col(f"p.{k}").alias(k) for k in PIXELS)).dropna()
     base = flat.agg(F.count("*").alias("n"), F.sum("is_real").alias("r")).select(F.lit("majority").alias("name"), F.greatest("r", F.col("n") - F.col("r")).alias("hits"), "n")
     sets = {"pixels": PIXELS, "x": ["x"], "x+y": ["x", "y"], "x+y+z": ["x", "y", "z"], "x+y+pixels": ["x", "y", *PIXELS]}
@@ -412,7 +416,7 @@ def pushed_points(spark, d):
 @query(f"WITH {_FIG}, m AS (SELECT n, max(clip) AS clip, max(CAST(trunc(rep) AS INTEGER)) AS rep FROM fig WHERE clip IS NOT NULL GROUP BY n) SELECT fig.id, fig.c, m.clip, m.rep FROM fig LEFT JOIN m ON m.n = fig.n AND fig.c = 1")
 def enrich_left_conditional(spark, d):
     """Figures with the metrics of their file name, for generated ones only."""
-    f = figures(spark, d)
+    f = figures(spark, d, "n")
     m = f.filter("clip is not null").groupBy("n").agg(F.max("clip").alias("clip"), F.max(F.col("rep").cast("int")).alias("rep"))
     return R.enrich_where(f.select("id", "n", "c"), m, "n", F.col("c") == 1).select("id", "c", "clip", "rep")
 
@@ -428,7 +432,7 @@ def enrich_dim_chain(spark, d):
 def paper_enrich(spark, d):
     """Papers with a title to show and the name of their cluster, their topic, or 'unclustered'."""
     c = load(spark, d, "clusters").select(F.col("id").alias("cluster"), "name")
-    p = papers(spark, d).join(c, "cluster", "left")
+    p = papers(spark, d, "title").join(c, "cluster", "left")
     title = F.when(F.coalesce("title", F.lit("")).isin("", "None"), T.stem(F.col("f"))).otherwise(F.col("title"))
     return p.select("f", title.alias("title"), F.coalesce("name", T.first_filled(F.col("topic")), F.lit("unclustered")).alias("label"))
 
@@ -485,7 +489,7 @@ def _exc(c: str, n: int) -> str:
 @query(f"WITH {_PAP} SELECT f, {_exc('abstract', 1400)} AS abstract, {_exc('refs', 900)} AS refs FROM pap")
 def text_excerpt(spark, d):
     """Beginnings of abstracts and references."""
-    return papers(spark, d).select("f", T.excerpt(F.col("abstract"), 1400).alias("abstract"), T.excerpt(F.col("refs"), 900).alias("refs"))
+    return papers(spark, d, "abstract", "refs").select("f", T.excerpt(F.col("abstract"), 1400).alias("abstract"), T.excerpt(F.col("refs"), 900).alias("refs"))
 
 
 @query(rf"""WITH {_PAP} SELECT f, regexp_replace({_strip("regexp_replace(" + _strip("closest") + r", '^s\d+\s*=\s*" + '"' + r"?', '')")}, '^"+|"+$', '', 'g') AS closest FROM pap""")
@@ -505,7 +509,7 @@ def file_names(spark, d):
     """Thumbnail, stem, path by class and base name of every figure's file."""
     n = F.col("n")
     path = F.concat(F.when(F.col("is_generated"), "figures/").otherwise("real-figures/"), n)
-    return figures(spark, d).select("id", T.extension_to(n, "png", "jpg").alias("thumb"), T.stem(n).alias("stem"), path.alias("path"), T.basename(F.concat(F.lit("a/b/"), n)).alias("base"))
+    return figures(spark, d, "n").select("id", T.extension_to(n, "png", "jpg").alias("thumb"), T.stem(n).alias("stem"), path.alias("path"), T.basename(F.concat(F.lit("a/b/"), n)).alias("base"))
 
 
 @query(r"""WITH k AS (SELECT map_id, kind, regexp_replace(map_id, '^map[_\-\s]*', '', 'i') AS rest FROM maps), m AS (SELECT kind, map_id, CASE WHEN regexp_extract(rest, '(\d{1,2}(:\d{2})?\s*(am|pm)?|\d{3,4})', 1, 'i') <> '' THEN regexp_extract(rest, '(\d{1,2}(:\d{2})?\s*(am|pm)?|\d{3,4})', 1, 'i') ELSE rest END AS key FROM k) SELECT kind, 'Map time: ' || min(key) AS label, string_agg(map_id, ',' ORDER BY map_id) AS members FROM m GROUP BY kind""")
@@ -523,27 +527,27 @@ _FLAGS = """list_distinct(list_filter([CASE WHEN coalesce(title, '') IN ('', 'No
 def struct_flags(spark, d):
     """Defects of every paper."""
     flags = T.paper_flags(F.col("title"), F.col("struct"), F.col("refs"))
-    return papers(spark, d).select("f", F.array_join(F.sort_array(flags), "|").alias("flags"), F.when(F.size(flags) > 0, "broken").otherwise("clean").alias("state"))
+    return papers(spark, d, "title", "refs").select("f", F.array_join(F.sort_array(flags), "|").alias("flags"), F.when(F.size(flags) > 0, "broken").otherwise("clean").alias("state"))
 
 
 @query(f"WITH {_PAP} SELECT f FROM pap WHERE len({_FLAGS}) = 0 AND CAST(cluster AS VARCHAR) = '3'")
 def flag_filter(spark, d):
     """Papers without defects in one cluster, chosen as text."""
-    p = papers(spark, d)
+    p = papers(spark, d, "title", "refs")
     return p.filter((F.size(T.paper_flags(F.col("title"), F.col("struct"), F.col("refs"))) == 0) & (F.col("cluster").cast("string") == "3")).select("f")
 
 
 @query(f"WITH {_PAP} SELECT count(*) AS papers, count(*) FILTER (WHERE coalesce(title, '') IN ('', 'None')) AS untitled, count(*) FILTER (WHERE coalesce(closest, '') = '') AS no_closest FROM pap")
 def missing_counts(spark, d):
     """Papers without title and without closest title."""
-    return papers(spark, d).agg(F.count("*").alias("papers"), F.count_if(F.coalesce("title", F.lit("")).isin("", "None")).alias("untitled"), F.count_if(F.coalesce("closest", F.lit("")) == "").alias("no_closest"))
+    return papers(spark, d, "title").agg(F.count("*").alias("papers"), F.count_if(F.coalesce("title", F.lit("")).isin("", "None")).alias("untitled"), F.count_if(F.coalesce("closest", F.lit("")) == "").alias("no_closest"))
 
 
 _TOK = _PAP + r", tok AS (SELECT f, unnest(string_split_regex(lower(abstract), '[^a-z]+')) AS w FROM pap), t AS (SELECT * FROM tok WHERE w <> '')"
 
 
 def _tokens(spark, d):
-    return papers(spark, d).select("f", F.explode(F.split(F.lower("abstract"), "[^a-z]+")).alias("w")).filter("w <> ''")
+    return papers(spark, d, "abstract").select("f", F.explode(F.split(F.lower("abstract"), "[^a-z]+")).alias("w")).filter("w <> ''")
 
 
 @query(f"WITH {_TOK}, v AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT f) >= 5) SELECT f, count(*) AS tokens, count(*) FILTER (WHERE w NOT IN (SELECT w FROM v)) AS unknown, round(count(*) FILTER (WHERE w NOT IN (SELECT w FROM v)) / count(*), 6) AS ratio FROM t GROUP BY f")
