@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.sources.tables import present
+from foliospark.sources.tables import present, safe_key
 
 _WHITE = re.compile(r"\s+")
 _MARKER = re.compile(r"^(?:\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}[.)](?=\s|[^\W\d])|[•·▪◦*‣]|[-–—](?=\s))\s*")
@@ -242,10 +242,10 @@ def split_values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
         if dialect not in ("people", "places", "entries"):
             raise ValueError(f"unknown dialect {dialect!r}")
     cols = list(fields)
-    src = df.select(F.col(key).alias("k"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(cols))).distinct()
+    k, inner, kind = safe_key(df, key)
+    src = df.select(k.alias("k"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(cols))).distinct()
     src = src.filter(F.greatest(*(present(f"v{i}").cast("int") for i in range(len(cols))), F.lit(0)) > 0)
     dialects = list(fields.values())
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -256,5 +256,5 @@ def split_values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
                     rows += [(k, name, p, v) for p, v in enumerate(split_text(text, dialect), 1)]
             yield pd.DataFrame(rows, columns=["k", "field", "pos", "value"])
 
-    out = src.mapInPandas(run, f"k {kind}, field string, pos int, value string")
-    return out.select(F.col("k").alias(key), "field", "pos", "value")
+    out = src.mapInPandas(run, f"k {inner}, field string, pos int, value string")
+    return out.select(F.col("k").cast(kind).alias(key), "field", "pos", "value")

@@ -27,6 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def safe_key(df: DataFrame, name: str) -> tuple[Column, str, str]:
+    """(column, its type, its type in the schema) of a key that goes through pandas: whole numbers go as text, for with a
+    null among them pandas would make them floating-point numbers."""
+    kind = df.schema[name].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return (F.col(name).cast("string"), "string", kind) if whole else (F.col(name), kind, kind)
+
+
 def present(col: Column | str) -> Column:
     """True where a text holds something: not null, not blank and not 'None'."""
     c = F.col(col) if isinstance(col, str) else col

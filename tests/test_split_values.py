@@ -64,3 +64,9 @@ def test_operator(spark):
     got = {tuple(r) for r in split_values(df, "f", {"authors": "people", "aff": "places"}).collect()}
     assert got == {("a", "authors", 1, "X Yz"), ("a", "authors", 2, "B Cd"), (None, "authors", 1, "Q Rs"), ("b", "aff", 1, "P" * 100_000)}
     assert split_values(df.limit(0), "f", {"authors": "people"}).count() == 0
+
+
+def test_null_among_whole_keys(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "A Bc"), (None, "C De")], "f bigint, a string")
+    assert {(r["f"], r["value"]) for r in split_values(df, "f", {"a": "people"}).collect()} == {(big, "A Bc"), (None, "C De")}
