@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import DEFAULT_VOCABULARY, Sizer, SizerSource
+from foliospark.sources.tables import safe_key
 
 #: Words under the rolling hash.
 SPAN = 8
@@ -140,8 +141,8 @@ def split_items(df: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int
         if not 0 <= overlap < limit:
             raise ValueError(f"overlap {overlap} doesn't fit into {limit}")
     source = SizerSource(df.sparkSession, vocabulary)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    kind = src.schema["id"].dataType.simpleString()
+    id_, kind, outer = safe_key(df, id_col)
+    src = df.select(id_.alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     smallest = min((s for s, _ in sizes), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,4 +164,5 @@ def split_items(df: DataFrame, id_col: str, text_col: str, sizes: list[tuple[int
                     rows, room = [], 0
             yield pd.DataFrame(rows, columns=["size_limit", "id", "piece", "start_char", "end_char", "n_tokens", "text"])
 
-    return src.mapInPandas(run, f"size_limit int, id {kind}, piece int, start_char bigint, end_char bigint, n_tokens int, text string")
+    out = src.mapInPandas(run, f"size_limit int, id {kind}, piece int, start_char bigint, end_char bigint, n_tokens int, text string")
+    return out.withColumn("id", F.col("id").cast(outer))

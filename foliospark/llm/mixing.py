@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.tokens import DEFAULT_VOCABULARY, SizerSource
-from foliospark.sources.tables import checkpointed
+from foliospark.sources.tables import checkpointed, safe_key
 
 HASHED = 1 << 12
 #: Cells of a hash histogram; two rounds of cells reach single documents up to their square.
@@ -36,8 +36,8 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
     trust_labels False the classifier's posterior is used for labelled documents too.
     """
     sizer_source = SizerSource(docs.sparkSession, vocabulary)
-    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
+    id_, kind, outer = safe_key(docs, id_col)
+    src = docs.select(id_.alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     named = F.array(*(F.lit(d) for d in domains))
     label = F.col("source").isNotNull() & (F.trim("source") != "")
     one = F.transform(named, lambda d: (d == F.col("source")).cast("double"))
@@ -48,7 +48,7 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
             for pdf in batches:
                 yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "n": [sizer.count(t) for t in pdf["text"]]})
 
-        return checkpointed(src.mapInPandas(size, f"id {kind}, source string, n bigint").select("id", "source", "n", one.alias("p")))
+        return checkpointed(src.mapInPandas(size, f"id {kind}, source string, n bigint").select(F.col("id").cast(outer).alias("id"), "source", "n", one.alias("p")))
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizer = sizer_source.get()
@@ -67,7 +67,18 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
     marked = prof.filter(label)
     prior = {r[0]: r[1] for r in marked.groupBy("source").agg(F.count("*")).collect()}
     classes = sorted(prior)
-    seen = marked.select("source", F.explode(F.arrays_zip("h", "k")).alias("x")).groupBy("source", "x.h").agg(F.sum(F.log1p("x.k")).alias("w"))
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for c, h, k in zip(pdf["source"], pdf["h"], pdf["k"]):
+                if c not in sums:
+                    sums[c] = np.zeros(HASHED)
+                sums[c][np.asarray(h, int)] += np.log1p(np.asarray(k, float))  # the hashes of a document differ
+        yield pd.DataFrame({"source": list(sums), "w": [x.tolist() for x in sums.values()]})
+
+    parts = marked.select("source", "h", "k").mapInPandas(add_up, "source string, w array<double>")
+    seen = parts.select("source", F.posexplode("w").alias("h", "w")).groupBy("source", "h").agg(F.sum("w").alias("w"))
     weight = np.full((len(classes), HASHED), 0.5)
     for r in seen.collect():
         weight[classes.index(r[0]), r[1]] += r[2]
@@ -93,7 +104,7 @@ def memberships(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
 
     judged = prof.mapInPandas(judge, f"id {kind}, source string, n bigint, soft array<double>")
     p = F.when(label, one).otherwise(F.col("soft")) if trust_labels else F.col("soft")
-    return checkpointed(judged.select("id", "source", "n", p.alias("p")))
+    return checkpointed(judged.select(F.col("id").cast(outer).alias("id"), "source", "n", p.alias("p")))
 
 
 def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | None = None) -> tuple[np.ndarray, np.ndarray]:

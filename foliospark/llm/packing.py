@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.sources.tables import checkpointed
+from foliospark.sources.tables import checkpointed, safe_key
 
 BUCKETS = 192
 #: Rows numbered by one task.
@@ -102,6 +102,8 @@ def pack(items: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     tokens and are numbered from 0 without gaps. Items of one length are alike, so ties need no rule but their order by
     hash; an empty table gives an empty result.
     """
+    id_, kind, outer = safe_key(items, "id")
+    items = items.withColumn("id", id_)
     whole = F.floor(F.col("n") / capacity)
     rest = (F.col("n") % capacity).cast("int")
     parts = items.withColumn("whole", whole).withColumn("rest", rest)
@@ -135,7 +137,6 @@ def pack(items: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
         for pdf in batches_:
             yield pdf.assign(bucket=np.searchsorted(bounds_, pdf["rest"].to_numpy(), side="left").astype("int32"))
 
-    kind = items.schema["id"].dataType.simpleString()
     cols = f"id {kind}, n bigint, whole bigint, rest int, salt bigint"
     labelled = small.mapInPandas(label, cols + ", bucket int")
     sizes = labelled.groupBy("bucket", "salt").agg(F.count("*").alias("k"))
@@ -165,4 +166,4 @@ def pack(items: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     full = run.join(F.broadcast(starts), "salt").select("id", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("p", "piece"), (F.lit(first) + F.col("before") + F.col("s")).alias("c"))
     out = out.unionByName(full.select("id", F.col("piece").cast("int").alias("piece"), (F.col("c") + F.col("piece")).alias("container"), F.lit(0).alias("slot"), (F.col("piece") * capacity).alias("first_token"), F.lit(capacity).cast("bigint").alias("n")))
     none = parts.filter("n = 0 or n is null").select("id", F.lit(0).alias("piece"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("slot"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).cast("bigint").alias("n"))
-    return out.unionByName(none)
+    return out.unionByName(none).withColumn("id", F.col("id").cast(outer))

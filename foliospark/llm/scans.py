@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.boost import BoostedTrees
 from foliospark.llm.mapping import levenshtein
-from foliospark.sources.tables import checkpointed, present
+from foliospark.sources.tables import checkpointed, present, safe_key
 
 #: Bounds of the training samples: texts for the line models, words for the ranker.
 SAMPLE_TEXTS, SAMPLE_WORDS = 900, 1500
@@ -358,7 +358,8 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Rows equal in key and fields count once. Null, blank and 'None' fields need no repair; very long texts are read
     whole, a line without end is one line. Ties between candidates go to the one in more papers, then the greater word.
     """
-    src = df.select(F.col(key).alias("k"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(fields))).distinct()
+    k, kind, outer = safe_key(df, key)
+    src = df.select(k.alias("k"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(fields))).distinct()
     long = src.select("k", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"v{i}").alias("text")) for i, c in enumerate(fields)))).alias("x")).select("k", "x.field", "x.text").filter(present("text"))
     long = checkpointed(long)
     total = long.filter(F.col("field") == fields[0]).count() or 1
@@ -380,7 +381,6 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             rows = [(k, field, header, pageno, seen, breaks) for k, field, (header, pageno, seen, breaks, _) in zip(pdf["k"], pdf["field"], read_all)]
             yield pd.DataFrame(rows, columns=["k", "field", "header", "pageno", "seen", "breaks"])
 
-    kind = src.schema["k"].dataType.simpleString()
     pages = checkpointed(long.mapInPandas(read, f"k {kind}, field string, header boolean, pageno boolean, seen array<struct<w:string,c:boolean>>, breaks array<struct<a:string,b:string>>"))
     seen = pages.select("k", "field", F.explode("seen").alias("x")).select("k", "field", F.col("x.w").alias("token"), F.col("x.c").alias("capital"), F.lower("x.w").alias("w"))
     counts = pages.select(F.explode(F.array_distinct(F.transform("seen", lambda x: F.lower(x["w"])))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -413,4 +413,4 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     out = rows.mapInPandas(case, cols)
     for mark in ("header", "pageno"):
         out = out.unionByName(pages.filter(mark).select("k", "field", F.lit(mark).alias("kind"), F.lit("").alias("repaired")))
-    return out.distinct().withColumnRenamed("k", key)
+    return out.distinct().select(F.col("k").cast(outer).alias(key), "field", "kind", "repaired")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.tables import safe_key
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split pattern of the vocabulary, and the same in the syntax of the faster standard module.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,7 +96,8 @@ def sized(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = No
     """(id, n, kept columns): tokens of each row's text, 0 where it is null or empty."""
     keep = keep or []
     source = SizerSource(df.sparkSession, vocabulary)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep))
+    id_, _, kind = safe_key(df, id_col)
+    src = df.select(id_.alias("id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "text") + ", n bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,4 +106,4 @@ def sized(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = No
             n = [sizer.count(t) for t in pdf["text"]]
             yield pdf.drop(columns="text").assign(n=n)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind))

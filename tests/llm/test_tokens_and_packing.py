@@ -80,3 +80,11 @@ def test_sized(spark, sizer):
     texts = ["", None, "Hello\n\n  world", "字" * 5000, "a" * 100_000]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc bigint, body string, n2 string")
     assert {r["id"]: r["n"] for r in sized(df, "doc", "body", ["n2"]).collect()} == {i: sizer.count(t) for i, t in enumerate(texts)}
+
+
+def test_null_ids(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "one two"), (None, "three")], "id bigint, text string")
+    items = sized(df, "id", "text")
+    assert {(r["id"], r["n"]) for r in items.collect()} == {(big, 2), (None, 1)}
+    assert {r["id"] for r in pack(items, 100).collect()} == {big, None}
