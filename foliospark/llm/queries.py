@@ -11,7 +11,7 @@ from foliospark.llm.mixing import memberships, mix, reached
 from foliospark.llm.names import author_entities, org_entities, same_pairs
 from foliospark.llm.neighbours import nearest
 from foliospark.llm.packing import pack
-from foliospark.llm.scans import repairs
+from foliospark.llm.scans import repaired_texts, repairs
 from foliospark.llm.tokens import sized
 from foliospark.operators.split_values import split_values
 from foliospark.sources.tables import checkpointed, load
@@ -32,6 +32,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repairs(load(spark, d, "papers").select("f", "title", "abstract", "refs"), "f", ["title", "abstract", "refs"])
 
 
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    """The whole repaired text of every title, abstract and list of references: (f, field, text)."""
+    return repaired_texts(load(spark, d, "papers").select("f", "title", "abstract", "refs"), "f", ["title", "abstract", "refs"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of figures of which one is among the 8 nearest of the other."""
     near = nearest(load(spark, d, "figures").select("id", "x", "y", "z"), "id", ["x", "y", "z"], 8)
@@ -94,5 +99,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", sizes).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_soft_shares": p8_soft_shares, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_soft_shares": p8_soft_shares, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}

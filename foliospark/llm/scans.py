@@ -7,6 +7,8 @@ wrapped, broken and furnished, so the labels are known. How many papers share a
 Words: each word of the corpus asks for candidates through an inverted join of character trigrams; its rarest trigrams
 suffice, since the others cannot hold every word within the edits allowed. A boosted ranker, trained on words of the
 corpus that are corrupted on purpose, scores the candidates; the best one replaces the word if its score is positive.
+
+Text: `mend` gives the whole repaired texts and the list of the repairs, both of one pass.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.boost import BoostedTrees
 from foliospark.llm.mapping import levenshtein
+from foliospark.operators.split_values import _ENTRY_LINE
 from foliospark.sources.tables import checkpointed, present, safe_key
 
 #: Bounds of the training samples: texts for the line models, words for the ranker.
@@ -45,7 +48,9 @@ _BAD = {}
 for _b, _g in CONFUSIONS:
     _BAD.setdefault(_b, []).append(_g)
 _LEAD, _TAIL = re.compile(r"^(?:\[\d+\]|\(\d+\))?[\"'“‘(\[{•]*"), re.compile(r"[\"'”’)\]},.;:?]*$")
-_SPACE = re.compile(r"\s+|[;|]+(?=\S)")
+_SPACE = re.compile(r"(\s+|[;|]+(?=\S))")
+_ITEM = re.compile(r"\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.\s|[•·▪◦‣]")
+_NUMBER_FOLLOWS = re.compile(r"\b(?:vol|pp?|no)\.$", re.I)
 _ROMAN = re.compile(r"^[ivxlc]+$")
 _PAGE = re.compile(r"^(?:[—–-]\s*)?(?:page|pg\.?|p\.?|seite)?\s*[\[(]?(\d{1,5}|[ivxlc]{1,8})[\])]?(?:\s*(?:/|of)\s*\d{1,5})?(?:\s*[—–-])?$", re.I)
 FEATURES = 20
@@ -167,9 +172,10 @@ def train_lines(texts: list[tuple[str, str]], titles: list[str], papers: list[st
     return {k: BoostedTrees().fit(x, y == k) for k in ("header", "pageno")} | {"join": BoostedTrees(rounds=20).fit(*pair)}
 
 
-def read_pages(texts: list[str], fields: list[str], models: dict[str, BoostedTrees], known: dict[str, float]) -> list[tuple[bool, bool, list[tuple[str, bool]], list[tuple[str, str]], list[str]]]:
+def read_pages(texts: list[str], fields: list[str], models: dict[str, BoostedTrees], known: dict[str, float]) -> list[tuple[bool, bool, list[tuple[str, bool]], list[tuple[str, str]], list[str], list[bool], list[str]]]:
     """Per text (has a header, has a page number, distinct (word, may be capital), distinct (left, right) of broken words,
-    body lines). The models score all lines of all texts at once."""
+    body lines, whether each one's last word goes on in the next, what stands before each one in continuous text). The
+    models score all lines of all texts at once."""
     pages = [re.split(r"\r\n|\r|\n", t) for t in texts]
     rows = [line_features(p, known, f) if len(p) > 1 else np.zeros((len(p), FEATURES)) for p, f in zip(pages, fields)]
     ends = np.cumsum([0, *map(len, pages)])
@@ -177,27 +183,33 @@ def read_pages(texts: list[str], fields: list[str], models: dict[str, BoostedTre
     h, p = models["header"].score(x), models["pageno"].score(x)
     marks: list[tuple[bool, bool]] = []
     bodies: list[list[str]] = []
+    glues: list[list[str]] = []
     pairs: list[list[float]] = []
     for k, lines in enumerate(pages):
         header = pageno = False
-        body = lines
+        body, glue = lines, [""]
         if len(lines) > 1:
-            body = []
+            body, glue = [], []
+            blank = furniture = False  # since the last body line
             for i, line in enumerate(lines, ends[k]):
                 if not line.strip():
-                    continue
-                if max(h[i], p[i]) > 0:
+                    blank = True
+                elif max(h[i], p[i]) > 0:
                     header, pageno = bool(header or h[i] >= p[i]), bool(pageno or p[i] > h[i])
+                    furniture = True
                 else:
+                    glue.append(_glue(body[-1], line, blank and not furniture) if body else "")
                     body.append(line)
+                    blank = furniture = False
         marks.append((header, pageno))
         bodies.append(body)
+        glues.append(glue)
         pairs += [pair_features(a, b) for a, b in zip(body, body[1:]) if _marked(a) and b.strip()]
     joins = iter((models["join"].score(np.array(pairs)) > 0).tolist() if pairs else [])
     out = []
-    for (header, pageno), body in zip(marks, bodies):
-        goes_on = [_marked(a) and bool(b.strip()) and next(joins) for a, b in zip(body, body[1:])]
-        out.append((header, pageno, *_words(body, [*goes_on, False]), body))
+    for (header, pageno), body, glue in zip(marks, bodies, glues):
+        goes_on = [*(_marked(a) and bool(b.strip()) and next(joins) for a, b in zip(body, body[1:])), False]
+        out.append((header, pageno, *_words(body, goes_on), body, goes_on, glue))
     return out
 
 
@@ -206,30 +218,83 @@ def _marked(line: str) -> bool:
     return len(s) > 1 and s[-1] in MARKS and not s[-2].isspace()
 
 
-def _words(body: list[str], goes_on: list[bool]) -> tuple[list[tuple[str, bool]], list[tuple[str, str]]]:
-    """Distinct (word, may be capital) and distinct (left, right) of the words broken after the lines that go on."""
-    tokens: list[str] = []
-    breaks: list[tuple[str, str]] = []
-    carried = None  # the left half of a broken word
-    for line, on in zip(body, goes_on):
-        w = [x for x in _SPACE.split(line.strip()) if x]
+def _glue(line: str, nxt: str, blank: bool) -> str:
+    """What stands between two body lines in continuous text; blank: blank lines and no furniture were between them.
+
+    A blank line ends a paragraph, unless the sentence goes on in lower case; blank lines beside furniture belong to it.
+    The entries of a list keep their lines. A mark at a line end that breaks no word is a hyphen inside a word.
+    """
+    a, b = line.rstrip(), nxt.lstrip()
+    if blank and (a[-1] in ".!?:;\"'”’)]" or not b[0].islower()):
+        return "\n\n"
+    if _marked(a) and b[0].isalnum() and b.split()[0] not in ("and", "or", "to"):
+        return ""
+    if not a[-1].isalpha() and a[-1] not in "," + MARKS and (_ITEM.match(b) and not _NUMBER_FOLLOWS.search(a) or _ENTRY_LINE.search(f"{a[-5:]}\n{b}")):
+        return "\n"
+    return " "
+
+
+def _tokens(body: list[str], goes_on: list[bool]) -> list[tuple[int, str, str, tuple[str, str, str, str] | None]]:
+    """(line that the token begins or -1, separator before it, token, halves) of a text. halves, for a word broken after a
+    line that goes on: (what is before it, left, right, what is after it); the token then still has the mark."""
+    out = []
+    carried = None  # the token with the left half of a broken word
+    for at, (line, on) in enumerate(zip(body, goes_on)):
+        begin, sep, w = at, "", []
+        parts = _SPACE.split(line.strip())
+        for token, after in zip(parts[0::2], [*parts[1::2], ""]):
+            if token:
+                w.append((begin, sep, token, None))
+                begin, sep = -1, ""
+            sep += after
         if w and carried is not None:
-            breaks.append((carried, _TAIL.sub("", w[0])))
-            tokens.append("\0" + w[0])  # neither half is a word; kept for the sentence end in it
+            left, right = carried[2], w[0][2]
+            if on and len(w) == 1:  # broken over more than two lines
+                carried = (*carried[:2], left[:-1] + right, None)
+                continue
+            a, b = _LEAD.sub("", left[:-1]), _TAIL.sub("", right)
+            out.append((*carried[:2], left + w[0][1] + right, (left[: len(left) - 1 - len(a)], a, b, right[len(b) :])))
             w, carried = w[1:], None
         if w and on:
-            carried = _LEAD.sub("", w[-1][:-1])
-            w = w[:-1]
-        tokens += w
+            carried = w.pop()
+        out += w
+    return out
+
+
+def _may_start(tokens: list[tuple[int, str, str, tuple[str, str, str, str] | None]], i: int) -> bool:
+    """May token i be capital, at a sentence's beginning or among capital words?"""
+    if i == 0 or tokens[i - 1][2][-1] in ".?\"":
+        return True
+    if i + 1 == len(tokens):
+        return False
+    _, _, token, halves = tokens[i + 1]
+    return ((halves[2] + halves[3]) if halves else token)[:1].isupper() and tokens[i][2][-1] not in ".,;:"
+
+
+def _words(body: list[str], goes_on: list[bool]) -> tuple[list[tuple[str, bool]], list[tuple[str, str]]]:
+    """Distinct (word, may be capital) and distinct (left, right) of the words broken after the lines that go on."""
+    tokens = _tokens(body, goes_on)
     seen: dict[tuple[str, bool], None] = {}
-    for i, t in enumerate(tokens):
-        if t[0] == "\0":
-            continue
+    for i, (_, _, t, halves) in enumerate(tokens):
         x = word(t)
-        if len(x) > 1 and any(c.isalpha() for c in x):
-            start = i == 0 or tokens[i - 1][-1] in ".?\"" or (i + 1 < len(tokens) and tokens[i + 1].lstrip("\0")[:1].isupper() and t[-1] not in ".,;:")
-            seen[(x, start)] = None
-    return list(seen), list(dict.fromkeys(b for b in breaks if b[0] and b[1]))
+        if not halves and len(x) > 1 and any(c.isalpha() for c in x):
+            seen[(x, _may_start(tokens, i))] = None
+    return list(seen), list(dict.fromkeys(h[1:3] for _, _, _, h in tokens if h and h[1] and h[2]))
+
+
+def mended(body: list[str], goes_on: list[bool], glue: list[str], fixes: dict[str, str], joins: dict[tuple[str, str], str]) -> str:
+    """The continuous text of body lines; fixes: word -> right word in lower case, joins: halves -> whole word."""
+    tokens = _tokens(body, goes_on)
+    out = []
+    for i, (begin, sep, t, halves) in enumerate(tokens):
+        if halves:
+            whole = joins.get(halves[1:3])
+            t = t if whole is None else halves[0] + whole + halves[3]
+        elif (x := word(t)) in fixes:
+            at = _LEAD.match(t).end()
+            t = t[:at] + recased(x, fixes[x], _may_start(tokens, i)) + t[at + len(x) :]
+        out += [glue[begin] if begin >= 0 else "", sep, t]
+    return "".join(out)
 
 
 def explained(w: str, v: str, sites: int = 2) -> int:
@@ -353,15 +418,27 @@ def corrections(words: DataFrame) -> DataFrame:
 
 
 def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, kind, repaired): every repair of the fields; kind is hyphen, char, header or pageno.
+    """(key, field, kind, repaired): the repairs of `mend`."""
+    return mend(df, key, fields)[1]
 
-    Rows equal in key and fields count once. Null, blank and 'None' fields need no repair; very long texts are read
-    whole, a line without end is one line. Ties between candidates go to the one in more papers, then the greater word.
+
+def repaired_texts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, text): the whole texts of `mend`."""
+    return mend(df, key, fields)[0]
+
+
+def mend(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((key, field, text), (key, field, kind, repaired)): the repaired texts and every repair made in them, of one pass.
+
+    text is the whole field without furniture, broken words joined, misread ones put right, lines joined, paragraphs
+    apart by a blank line; kind is hyphen, char, header or pageno. Rows equal in key and fields count once. Null, blank
+    and 'None' fields need no repair and have no text; very long texts are read whole, a line without end is one line.
+    Ties between candidates go to the one in more papers, then the greater word.
     """
     k, kind, outer = safe_key(df, key)
     src = df.select(k.alias("k"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(fields))).distinct()
     long = src.select("k", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"v{i}").alias("text")) for i, c in enumerate(fields)))).alias("x")).select("k", "x.field", "x.text").filter(present("text"))
-    long = checkpointed(long)
+    long = checkpointed(long.withColumn("row", F.monotonically_increasing_id()))  # a null key joins nothing, a row number does
     total = long.filter(F.col("field") == fields[0]).count() or 1
     # shapes shared by many papers: at most (lines of a paper) / SHAPE_SHARE of them
     line = F.explode(F.split("text", r"\r\n|\r|\n")).alias("line")
@@ -378,29 +455,29 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), models, known)
-            rows = [(k, field, header, pageno, seen, breaks) for k, field, (header, pageno, seen, breaks, _) in zip(pdf["k"], pdf["field"], read_all)]
-            yield pd.DataFrame(rows, columns=["k", "field", "header", "pageno", "seen", "breaks"])
+            rows = [(row, k, field, *page) for row, k, field, page in zip(pdf["row"], pdf["k"], pdf["field"], read_all)]
+            yield pd.DataFrame(rows, columns=["row", "k", "field", "header", "pageno", "seen", "breaks", "body", "goes_on", "glue"])
 
-    pages = checkpointed(long.mapInPandas(read, f"k {kind}, field string, header boolean, pageno boolean, seen array<struct<w:string,c:boolean>>, breaks array<struct<a:string,b:string>>"))
-    seen = pages.select("k", "field", F.explode("seen").alias("x")).select("k", "field", F.col("x.w").alias("token"), F.col("x.c").alias("capital"), F.lower("x.w").alias("w"))
+    pages = checkpointed(long.mapInPandas(read, f"row bigint, k {kind}, field string, header boolean, pageno boolean, seen array<struct<w:string,c:boolean>>, breaks array<struct<a:string,b:string>>, body array<string>, goes_on array<boolean>, glue array<string>"))
+    seen = pages.select("row", "k", "field", F.explode("seen").alias("x")).select("row", "k", "field", F.col("x.w").alias("token"), F.col("x.c").alias("capital"), F.lower("x.w").alias("w"))
     counts = pages.select(F.explode(F.array_distinct(F.transform("seen", lambda x: F.lower(x["w"])))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    broken = checkpointed(pages.select("k", "field", F.explode("breaks").alias("x")).select("k", "field", "x.a", "x.b"))
+    broken = checkpointed(pages.select("row", "k", "field", F.explode("breaks").alias("x")).select("row", "k", "field", "x.a", "x.b"))
     forms = broken.select(F.explode(F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b"))).alias("w")).select(F.lower("w").alias("w")).distinct()
     words = counts.withColumn("trusted", F.lit(True)).unionByName(forms.join(counts, "w", "left_anti").select("w", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("trusted")))
     words = checkpointed(words)
     fixes = checkpointed(corrections(words))
     few = fixes.count() <= MAX_BROADCAST
     fixed = F.broadcast(fixes) if few else fixes
-    chars = seen.join(fixed, "w").select("k", "field", "token", "v", "capital")
+    chars = seen.join(fixed, "w").select("row", "k", "field", "token", "v", "capital")
     # a broken word: whichever of its two joined forms, corrected if need be, is in more papers
     known_form = words.filter("n > 0").select("w", "n").join(fixes, "w", "left").select("w", F.coalesce("v", "w").alias("right"), F.coalesce("nv", "n").alias("m"), F.col("v").isNotNull().alias("misread"))
     lost = fixes.join(words.filter("n = 0").select("w"), "w", "left_semi").select("w", F.col("v").alias("right"), F.col("nv").alias("m"), F.lit(True).alias("misread"))
     table = known_form.unionByName(lost).join(forms, "w", "left_semi")
-    both = broken.select("k", "field", "a", "b", F.posexplode(F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b")))).withColumnRenamed("col", "token").withColumn("w", F.lower("token"))
+    both = broken.select("row", "k", "field", "a", "b", F.posexplode(F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b")))).withColumnRenamed("col", "token").withColumn("w", F.lower("token"))
     both = both.join(table, "w", "left")
     plain = F.when(F.col("pos") == 0, ~F.col("a").contains("-")).otherwise(F.col("a").contains("-"))
-    pick = both.groupBy("k", "field", "a", "b").agg(F.max_by(F.struct("token", F.coalesce("right", "w").alias("right"), F.coalesce("misread", F.lit(False)).alias("misread")), F.struct(F.coalesce("m", F.lit(0)), plain.cast("int"))).alias("x"))
-    pick = pick.select("k", "field", "x.*")
+    pick = both.groupBy("row", "k", "field", "a", "b").agg(F.max_by(F.struct("token", F.coalesce("right", "w").alias("right"), F.coalesce("misread", F.lit(False)).alias("misread")), F.struct(F.coalesce("m", F.lit(0)), plain.cast("int"))).alias("x"))
+    pick = pick.select("row", "k", "field", "a", "b", "x.*")
 
     def case(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -413,4 +490,19 @@ def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     out = rows.mapInPandas(case, cols)
     for mark in ("header", "pageno"):
         out = out.unionByName(pages.filter(mark).select("k", "field", F.lit(mark).alias("kind"), F.lit("").alias("repaired")))
-    return out.distinct().select(F.col("k").cast(outer).alias(key), "field", "kind", "repaired")
+    made = out.distinct().select(F.col("k").cast(outer).alias(key), "field", "kind", "repaired")
+    words_of = chars.groupBy("row").agg(F.collect_set(F.struct("token", "v")).alias("fixes"))
+    joins_of = pick.groupBy("row").agg(F.collect_list(F.struct("a", "b", "token", "right", "misread")).alias("joins"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for body, goes_on, glue, fix, join in zip(pdf["body"], pdf["goes_on"], pdf["glue"], pdf["fixes"], pdf["joins"]):
+                right = {x["token"]: x["v"] for x in (fix if fix is not None else ())}
+                whole = {(x["a"], x["b"]): recased(x["token"], x["right"], False) if x["misread"] else x["token"] for x in (join if join is not None else ())}
+                texts.append(mended(list(body), list(goes_on), list(glue), right, whole))
+            yield pdf[["k", "field"]].assign(text=texts)
+
+    texts = pages.select("row", "k", "field", "body", "goes_on", "glue").join(words_of, "row", "left").join(joins_of, "row", "left")
+    texts = texts.drop("row").mapInPandas(write, f"k {kind}, field string, text string")
+    return texts.distinct().select(F.col("k").cast(outer).alias(key), "field", "text"), made

@@ -76,3 +76,40 @@ def test_boosted_trees():
 
 def test_empty(spark, papers):
     assert scans.repairs(papers.limit(0), "f", ["abstract", "refs"]).count() == 0
+
+
+def test_whole_texts(spark, papers):
+    texts, made = scans.mend(papers, "f", ["abstract", "refs"])
+    rows = [tuple(r) for r in texts.collect()]
+    got = {(f, field): t for f, field, t in rows}
+    assert len(rows) == len(got) == 150 * 2 + 60 + 1  # fields without text have no row
+    whole = {(r[0]): r[1] for r in papers.filter("f like 'c%' or f = 'long'").collect()}
+    assert all(got[f, "abstract"] == t.strip() for f, t in whole.items())
+    scanned = {f: got[f, "abstract"] for f in (f"s{i}" for i in range(60))}
+    written = {r[0]: r[1] for r in papers.select("f", "abstract").filter("f like 's%'").distinct().collect()}
+    right = 0
+    for i in range(60):
+        w = WORDS[i % len(WORDS)]
+        right += scanned[f"s{i}"].replace(" -", "") == _joined(written[f"s{i}"]).replace(f" {w.replace('e', 'c', 1)} ", f" {w} ")
+    assert right >= 50
+    # every repair listed is made in the text
+    for f, field, kind, r in made.collect():
+        assert kind in ("header", "pageno") or r in got[f, field]
+
+
+def _joined(text):
+    out = ""
+    for line in (x for x in text.split("\n") if x.strip() and not x.startswith(("Annals", "Page "))):
+        broken = out[-1:] != "" and out[-1] in scans.MARKS and not out.endswith(" -")
+        out = out[:-1] + line if broken else f"{out} {line}" if out else line
+    return out.replace(" -", "")
+
+
+def test_mended():
+    text = ["Thc (repre-", "senta-", "tion), semi-", "dense 3-", "5. It ends.", "New one;two", "[2] item"]
+    on = [True, True, True, False, False, False, False]
+    assert scans._words(text, on)[1] == [("representa", "tion"), ("semi", "dense")]
+    glue = ["", " ", " ", " ", scans._glue(text[3], text[4], False), scans._glue(text[4], text[5], True), "\n"]
+    got = scans.mended(text, on, glue, {"Thc": "the"}, {("representa", "tion"): "representation", ("semi", "dense"): "semi-dense"})
+    assert got == "The (representation), semi-dense 3-5. It ends.\n\nNew one;two\n[2] item"
+    assert scans._glue("in the middle", "of it", True) == " " and scans._glue("A. Abc, 1999.", "(2) B. Bcd", False) == "\n"
