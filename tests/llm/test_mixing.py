@@ -1,6 +1,6 @@
 import numpy as np
 
-from foliospark.llm.mixing import memberships, mix, reached
+from foliospark.llm.mixing import fit_rates, memberships, mix, reached
 
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.1, 2), ("gone", 0.1, 2)]
 
@@ -45,3 +45,29 @@ def test_nothing_to_mix(spark):
     df = spark.createDataFrame([(1, "x", "t")], "id bigint, source string, text string")
     assert mix(memberships(df, "id", "text", "source", ["a"]), targets(spark, [("a", 1.0, 1)])).count() == 0
     assert mix(memberships(df.limit(0), "id", "text", "source", ["a"]), targets(spark, [("a", 1.0, 1)])).count() == 0
+
+
+def test_fit_goes_to_the_end(spark):
+    # domains that overlap: the gap is closed where it can be, else the squared gap is the least there is
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([1.0, 1.0, 1.0], 300)
+    n = rng.integers(10, 90, 300)
+    members = spark.createDataFrame([(i, "x", int(k), q.tolist()) for i, (k, q) in enumerate(zip(n, p))], "id bigint, source string, n bigint, p array<double>").repartition(3).cache()
+    caps, shares = np.array([1.0, 1.0, 1.0]), np.array([0.4, 0.35, 0.25])
+    for total in (0.3 * n.sum(), None):
+        potential, goal = fit_rates(members, shares, caps, total)
+        rate = np.clip(p @ potential, 0, p @ caps)
+        gap, scale = goal - (n * rate) @ p, n @ p
+        r = gap / scale
+        if total is not None:
+            assert np.abs(gap).max() <= 1e-6 * total
+        else:
+            toward = p @ r
+            could_save = (n * np.where(toward > 0, toward * (p @ caps - rate), -toward * rate)).sum()
+            assert np.abs(gap).max() > 1e-3 * goal.sum() and could_save <= 5e-3 * (gap @ r) / 2
+
+
+def test_empty_partition_of_labelled(spark):
+    df = spark.createDataFrame([(1, "a", "apple pear"), (2, "b", "bolt nut")], "id bigint, source string, text string").repartition(6)
+    rows = memberships(df, "id", "text", "source", ["a", "b"], trust_labels=False).collect()
+    assert len(rows) == 2 and all(abs(sum(r["p"]) - 1) < 1e-9 for r in rows)
