@@ -89,21 +89,19 @@ def _enclosure(text: str, at: int) -> tuple[int, str]:
 
 
 def _partners(text: str) -> dict[int, int]:
-    """Position of each bracket's partner, in one pass with a stack; brackets without one are left out."""
+    """Position of each bracket's partner, at any depth, in one pass with a stack per kind; brackets without one are left out."""
     out: dict[int, int] = {}
-    stack: list[int] = []
+    stacks: dict[str, list[int]] = {c: [] for c in _OPEN}
     for m in _BRACKET.finditer(text):
         i, c = m.start(), m.group()
         if c in _OPEN:
-            stack.append(i)
-        else:
-            kind = _OPEN[_CLOSE.index(c)]
-            k = len(stack) - 1
-            while k >= 0 and text[stack[k]] != kind and len(stack) - k < 8:
-                k -= 1
-            if k >= 0 and text[stack[k]] == kind:
-                out[stack[k]] = i
-                del stack[k:]
+            stacks[c].append(i)
+        elif stack := stacks[_OPEN[_CLOSE.index(c)]]:
+            at = stack.pop()
+            out[at] = i
+            for other in stacks.values():  # openers inside a closed pair stay without partner
+                while other and other[-1] > at:
+                    other.pop()
     return out
 
 

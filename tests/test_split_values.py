@@ -70,3 +70,8 @@ def test_null_among_whole_keys(spark):
     big = 2**60 + 1
     df = spark.createDataFrame([(big, "A Bc"), (None, "C De")], "f bigint, a string")
     assert {(r["f"], r["value"]) for r in split_values(df, "f", {"a": "people"}).collect()} == {(big, "A Bc"), (None, "C De")}
+
+
+def test_bracket_under_many_openers():
+    for k in (1, 7, 8, 9, 500):
+        assert split_text(f"[a {'(' * k} b; c]; d", "places") == [f"[a {'(' * k} b; c]", "d"]
