@@ -71,3 +71,22 @@ def test_empty_partition_of_labelled(spark):
     df = spark.createDataFrame([(1, "a", "apple pear"), (2, "b", "bolt nut")], "id bigint, source string, text string").repartition(6)
     rows = memberships(df, "id", "text", "source", ["a", "b"], trust_labels=False).collect()
     assert len(rows) == 2 and all(abs(sum(r["p"]) - 1) < 1e-9 for r in rows)
+
+
+def test_scarce_domain_does_not_shrink_the_mixture(spark):
+    # a domain with next to no membership anywhere is short; the others keep their proportions
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        q = rng.dirichlet([1.0, 1.0]) * (1 - 1e-7)
+        rows.append((i, None, int(rng.integers(10, 90)), [float(q[0]), float(q[1]), 1e-7], False))
+    members = spark.createDataFrame(rows, "id bigint, source string, n bigint, p array<double>, labelled boolean").repartition(3).cache()
+    mixed = mix(members, targets(spark, [("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)])).collect()
+    everything = sum(r[2] for r in rows)
+    assert sum(r["n"] * r["repeats"] for r in mixed) >= 0.01 * everything and len(mixed) > 10
+
+
+def test_label_outside_the_targets_is_not_used(spark):
+    df = spark.createDataFrame([(i, "x" if i % 2 else "a", "apple pear plum " * 5) for i in range(60)], "id bigint, source string, text string")
+    rows = mix(memberships(df, "id", "text", "source", ["a"]), targets(spark, [("a", 1.0, 1)])).collect()
+    assert {r["source"] for r in rows} == {"a"} and len(rows) == 30
