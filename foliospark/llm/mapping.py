@@ -3,7 +3,7 @@
 Levenshtein distance is a true metric, so the triangle inequality holds: at a node at distance d of the query only the
 children whose edge lies within d - t and d + t can hold an entry within t, and every such entry is returned. The list
 is broadcast as one tree while it is small; a longer one is cut by hash into shards of bounded size, each searched in
-turn by all queries, and the shards' winners are merged by (distance, id).
+turn by all queries, and the shards' winners are merged by one rule.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.org_names import is_acronym, normal
+from foliospark.llm.org_names import normal
 
 #: Entries of one broadcast shard.
 SHARD_ENTRIES = 50_000
@@ -79,6 +79,8 @@ class BKTree:
 
 
 def _search_shard(queries: DataFrame, entries: list[tuple], threshold: int) -> DataFrame:
+    """(value, kind, d, id): the shard's best entry of each kind for each query; kinds as in map_to_list. Nothing is
+    decided here that another shard could decide otherwise."""
     names: dict[str, int] = {}
     shorts: dict[str, list[tuple[str, int]]] = {}
     for i, name, short, city in sorted((e for e in entries if e[0] is not None), key=lambda e: e[0]):
@@ -90,36 +92,41 @@ def _search_shard(queries: DataFrame, entries: list[tuple], threshold: int) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, shorts = shared.value
-        tree = BKTree([n for n in names if n])
-        seen: dict[str, tuple[int, int]] = {}
+        tree, short_tree = BKTree([n for n in names if n]), BKTree(shorts)
+        seen: dict[str, tuple[int, int] | None] = {}
 
-        def nearest(name: str) -> tuple[int, int]:
+        def nearest(name: str) -> tuple[int, int] | None:
             if name not in seen:
-                hit = (0, names[name]) if name in names else min(((d, names[w]) for d, w in tree.search(name, threshold)), default=(threshold + 1, -1))
-                seen[name] = hit
+                found = None
+                for t in range(threshold + 1):  # narrow searches prune most
+                    found = min(((d, names[w]) for d, w in tree.search(name, t)), default=None)
+                    if found:
+                        break
+                seen[name] = found
             return seen[name]
 
-        def by_short(word: str, place: str) -> tuple[int, int]:
-            known = shorts.get(word, [])
-            return (0, min(i for c, i in known if not place or c == place or all(x != place for x, _ in known))) if known else (threshold + 1, -1)
-
         for pdf in batches:
-            out = []
+            rows = []
             for v in pdf["value"]:
                 o = normal(v)
-                hit = by_short(o.acronym, o.place) if o.bare else nearest(o.name) if o.name else (threshold + 1, -1)
-                if hit[1] < 0 and o.acronym and not o.bare:
-                    hit = by_short(o.acronym, o.place)
-                out.append(hit)
-            yield pd.DataFrame({"value": pdf["value"], "d": [x[0] for x in out], "id": [x[1] for x in out]}).astype({"d": "int32", "id": "int64"})
+                if o.name and not o.bare and (hit := nearest(o.name)):
+                    rows.append((v, 0, *hit))
+                for _, w in short_tree.search(o.acronym, 0) if o.acronym else ():
+                    for away in (False, True):
+                        ids = [i for city, i in shorts[w] if (bool(o.place) and city != o.place) == away]
+                        if ids:
+                            rows.append((v, 1 + away, 0, min(ids)))
+            yield pd.DataFrame(rows, columns=["value", "kind", "d", "id"]).astype({"kind": "int32", "d": "int32", "id": "int64"})
 
-    return queries.mapInPandas(run, "value string, d int, id bigint")
+    return queries.mapInPandas(run, "value string, kind int, d int, id bigint")
 
 
 def map_to_list(values: DataFrame, column: str, entries: DataFrame, threshold: int = THRESHOLD, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """values with inst_id: the entry meant by `column`, or -1 if the list has none within the threshold.
 
-    entries: (inst_id, name, short, city). Each distinct value is searched once, spread over all tasks, so a value that
+    entries: (inst_id, name, short, city). The candidates of all shards are merged by kind, distance and id, so the answer
+    doesn't depend on the shards. Kinds: 0 the name, 1 the acronym, and the place if one is written, 2 the acronym of an
+    entry elsewhere. A bare acronym is held against acronyms only. Each distinct value is searched once, spread over all tasks, so a value that
     fills a third of the rows costs one search; the answers come back by a join. Ties go to the smaller id. A null or
     empty value maps to -1, entries without id are ignored, an empty list maps everything to -1. Columns of `values`
     named value, d or id are kept apart from the operator's own.
@@ -134,8 +141,7 @@ def map_to_list(values: DataFrame, column: str, entries: DataFrame, threshold: i
         part = listed if shards == 1 else listed.filter(F.pmod(F.xxhash64("inst_id"), F.lit(shards)) == s)
         got = _search_shard(distinct, [tuple(r) for r in part.collect()], threshold)
         found = got if found is None else found.unionByName(got)
-    if shards > 1:
-        found = found.groupBy("value").agg(F.min_by("id", F.struct(F.when(F.col("id") < 0, 1).otherwise(0), "d", "id")).alias("id"))
+    found = found.groupBy("value").agg(F.min(F.struct("kind", "d", "id")).alias("x")).select("value", "x.id")  # a few rows each
     found = found.select(F.col("value").alias("__value"), F.col("id").cast("int").alias("__id"))
     out = values.join(found, values[column] == F.col("__value"), "left")
     return out.select(*[values[c] for c in values.columns if c != "inst_id"], F.coalesce("__id", F.lit(-1)).alias("inst_id"))

@@ -16,7 +16,6 @@ ABBREVIATIONS = {
     "sci": "science", "sciences": "science", "sc": "science",
     "univ": "university", "uni": "university", "u": "university", "universidad": "university", "universite": "university",
     "universitat": "university", "universita": "university", "universidade": "university", "universiteit": "university",
-    "unversity": "university",
     "natl": "national", "nat'l": "national", "nat": "national",
     "lab": "laboratory", "labs": "laboratory", "laboratories": "laboratory",
     "res": "research", "coll": "college", "med": "medical", "acad": "academy", "ctr": "center", "centre": "center", "cent": "center",

@@ -48,3 +48,13 @@ def test_mapping(spark):
         assert {r["id"]: r["inst_id"] for r in rows} == {**dict(enumerate(VALUES.values())), 77: 2} and len(rows) == len(VALUES) + 1 and rows[0]["d"] == "d"
     assert {r["inst_id"] for r in map_to_list(values, "value", entries.limit(0)).collect()} == {-1}
     assert map_to_list(values.limit(0), "value", entries).count() == 0
+
+
+def test_answers_do_not_depend_on_shards(spark):
+    listed = [(1, "Zogzogamby University", "ABC", "Foo"), (2, "Kezdi Polytechnic", "ABC", "Kez"), (3, "Kezdi Institute of Technology", None, "Kez"), (4, "Zogzogamby College", "ABC", "Bar"), (5, "Kezdo Polytechnic", "KP", "Kez")]
+    entries = spark.createDataFrame(listed, "inst_id int, name string, short string, city string")
+    texts = ["Zogzogamby University (ABC)", "ABC, Bar", "Kezdi Polytechnix (ABC)", "ABC", "ABC, Elsewhere", "KP, Bar", "Kezdi Polytechnik", "Kezda Polytechnic", "Nowhere (KP)", "Unknown Academy", "Zogzogamby Univ."]
+    values = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [{r["v"]: r["inst_id"] for r in map_to_list(values, "v", entries, shard_entries=size).collect()} for size in (50_000, 3, 2, 1)]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert [got[0][t] for t in texts] == [1, 4, 2, 1, 1, 5, 2, 2, 5, -1, 1]
