@@ -24,6 +24,7 @@ from foliospark.sources.tables import present, safe_key
 _WHITE = re.compile(r"\s+")
 _MARKER = re.compile(r"^(?:\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}[.)](?=\s|[^\W\d])|[•·▪◦*‣]|[-–—](?=\s))\s*")
 _SPECIAL = re.compile(r'["\\()\[\]{}]|;|\|+|\t|\r\n?|\n|(?<=\s)//?(?=\s)|,|(?<=\s)(?:and|&)(?=\s)')
+_BLANKS = re.compile(" *")
 _BRACKET = re.compile(r"[()\[\]{}]")
 _HARD = frozenset(";\t\n\r")
 _OPEN, _CLOSE = "([{", ")]}"
@@ -81,8 +82,8 @@ def _enclosure(text: str, at: int) -> tuple[int, str]:
             out += [text[start:q], '"']
             at = start = q + 2
         else:
-            rest = text[q + 1 : q + 40].lstrip(" ")
-            if rest and rest[0] not in ";|,\t\r\n/&" and not rest.startswith("and ") and len(rest) > 0:
+            after = _BLANKS.match(text, q + 1).end()
+            if after < len(text) and text[after] not in ";|,\t\r\n/&" and not text.startswith("and ", after):
                 return -1, ""
             out.append(text[start:q])
             return q + 1, "".join(out)
@@ -122,7 +123,7 @@ def _unquoted(value: str) -> str:
 _PEOPLE_SOFT, _PLACES_SOFT = frozenset([",", "and", "&"]), frozenset([","])
 # Words that make a phrase an organisation, and phrases that name a part of one.
 _ORG_WORD = re.compile(
-    r"(?i)\b(?:univ\w*|unversity|inst\w*|poly\w*|coll\w*|acad\w*|lab\w*|centers?|centre|ctr|tech\w*|school|department|dept|faculty"
+    r"(?i)\b(?:univ\w*|inst\w*|poly\w*|coll\w*|acad\w*|lab\w*|centers?|centre|ctr|tech\w*|school|department|dept|faculty"
     r"|group|hospital|college|research|res|science|sci|arts|design|campus|foundation|company|inc|ltd|gmbh|u|of|de|st|state|med|medical|natl|national)\b"
 )
 _PART = re.compile(r"(?i)^(?:the\s+)?(?:(?:school|faculty|department|dept\.?|division|div\.?|chair|section|unit|institute for|laborator(?:y|ies) (?:for|of)|lab for)\s+(?:of|for)?\s*.+|[\w/& -]+\s(?:group|team|unit)|(?!national|natl|research)[\w/]+\slab)$")

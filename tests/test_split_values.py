@@ -75,3 +75,11 @@ def test_null_among_whole_keys(spark):
 def test_bracket_under_many_openers():
     for k in (1, 7, 8, 9, 500):
         assert split_text(f"[a {'(' * k} b; c]; d", "places") == [f"[a {'(' * k} b; c]", "d"]
+
+
+def test_no_limit_behind_a_quote_or_within_brackets():
+    for blanks in (0, 1, 40, 400):
+        assert split_text('"Ana; Bo"' + " " * blanks + "x", "people") == split_text('"Ana; Bo" x', "people") if blanks else True
+        assert split_text('"Ana; Bo"' + " " * blanks + "; Cy", "people") == ["Ana; Bo", "Cy"]
+    for depth in (1, 7, 8, 9, 50):
+        assert split_text("{" + "[" * depth + " a; b } c", "people") == ["{" + "[" * depth + " a; b } c"]
