@@ -1,11 +1,16 @@
 """Variant spellings of people and organisations (p2): merge-and-rematch entity resolution.
 
-A profile begins as one form (a surname, or the normal form of an organisation) with the spellings and initials that
-were written with it. Profiles meet in blocks: the keys of a profile are all its forms and those with one character
-left out, so two forms one edit or one transposition apart always share a block. In each block the other profiles are
-held against the richest one only; no block is paired out. A match merges the poorer profile into the richer one, which
-takes over its forms, initials and weight; merged profiles enter the blocks again with the keys of all their forms,
-until a round merges nothing. Two profiles that are both written with many initials are two surnames and never merge.
+A profile begins as one form (a surname, or the normal form of an organisation) with the marks that were written with
+it: initials of given names, and how often. Profiles meet in blocks: the keys of a profile are hashes of all its forms
+and of those with one character left out, so forms of any length that are one edit or one transposition apart always
+share a block, and so do two that are a left-out character each from a third. In each block the other profiles are held
+against the richest one only; no block is paired out. A match merges the poorer profile into the richer one: forms are
+united, marks added up. Merged profiles enter their blocks again, until a round merges nothing. Any of a profile's forms
+can bring it together with any of another's, so the order and the weights decide only which form names the result.
+
+Two profiles stay apart if the poorer one has a life of its own: more than a few initials under which it is written at
+least half as often as the richer one. A misspelling is always rare beside the right spelling with the same initial,
+however many initials it is met with, and this holds at every size of the data.
 
 People are then (surname profile, first initial): nicknames take the initial of the name they stand for, learned from
 spellings that give both, and among several initials the one under which the surname is known best.
@@ -16,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +29,11 @@ from pyspark.sql import functions as F
 from foliospark.llm.org_names import fold, normal
 from foliospark.sources.tables import checkpointed
 
-#: Longer forms share a block only with equal ones: leaving out each character in turn would square their length.
-LONGEST = 120
-#: A profile written with more initials than this and than a quarter of the richer one's is a surname of its own.
-OWN_INITIALS = 3
+#: A profile with more own initials than this is a surname of its own; in a form of under SHORT characters, where one
+#: character is much of a name, with any.
+OWN_INITIALS, SHORT = 3, 4
+#: An initial is a profile's own if it is written with it more than this many times as often as with the richer one.
+OWN_SHARE = 0.5
 _TITLE = re.compile(r"^(?:dr|prof|mr|mrs|ms|sir|phd)\.?\s+", re.I)
 _NICK = re.compile(r"[\"“(]\s*([^\"”()]+?)\s*[\"”)]")
 _INITIAL = re.compile(r"^(?:[^\W\d_]\.?(?:-?[^\W\d_]\.)*|[^\W\d_])$")
@@ -90,26 +97,72 @@ def _oriented(people: DataFrame) -> DataFrame:
     return out.unionByName(people.filter("sure").select("value", "n", F.col("a").alias("given"), F.col("b").alias("surname"), "nick"))
 
 
+def left_out_keys(form: str) -> np.ndarray:
+    """Hashes of a form and of all forms with one of its characters left out, in time linear in its length: polynomial
+    hashes of what is before and after each character, under two primes."""
+    c = np.frombuffer(form.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, keys = len(c), np.zeros(len(c) + 1, np.uint64)
+    for prime, base in ((2147483647, 911382323), (2147483629, 972663749)):
+        power, before = [1] * (n + 1), [0] * (n + 1)
+        for i, x in enumerate(c.tolist()):
+            power[i + 1] = power[i] * base % prime
+            before[i + 1] = (before[i] * base + x) % prime
+        pw, be, m = np.array(power, np.uint64), np.array(before, np.uint64), np.uint64(prime)
+        after = (be[n] + m - be[1:] * pw[:n][::-1] % m) % m  # of the characters behind i
+        out = (be[:n] * pw[:n][::-1] + after) % m
+        keys = keys * np.uint64(1 << 31) + np.append(out, be[n])
+    return np.unique(keys.astype(np.int64))
+
+
 def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
-    """(form, entity): every form with the form of the profile it ended in.
+    """(form, entity): every form with the form that names the profile it ended in, its richest.
 
-    forms: (form, weight, breadth), one row per form; breadth is in how many ways (initials, say) a form is written.
-    Ties in weight go to the greater form. Empty input gives an empty result; null and empty forms are ignored. Each
-    round is written to the checkpoint folder, which cuts the lineage of the loop.
+    forms: (form, marks), one row per form, marks being array<struct<m string, w bigint>>, each m once; optionally
+    `listed`: two listed profiles never merge. Instead of marks there may be (weight, breadth): as many marks of equal
+    weight. Richer means listed, then more marks, then more weight; ties go by row. Empty input gives an empty result; null
+    and empty forms are ignored. Each round is written to the checkpoint folder, which cuts the lineage of the loop.
     """
-    state = checkpointed(forms.filter("form is not null and form <> ''").select("form", F.col("form").alias("entity"), "weight", "breadth"))
+    if "marks" not in forms.columns:
+        each = F.greatest(F.lit(1), (F.col("weight") / F.col("breadth")).cast("bigint"))
+        forms = forms.withColumn("marks", F.transform(F.sequence(F.lit(1), F.col("breadth")), lambda i: F.struct(i.cast("string").alias("m"), each.alias("w"))))
+    listed = F.col("listed") if "listed" in forms.columns else F.lit(False)
+    base = forms.filter("form is not null and form <> ''").select("form", "marks", listed.alias("listed"))
+    base = checkpointed(base.withColumn("fid", F.monotonically_increasing_id()))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [left_out_keys(f) for f in pdf["form"]]
+            sizes = [len(k) for k in keys]
+            short = [len(f) < SHORT for f in pdf["form"]]
+            yield pd.DataFrame({"fid": np.repeat(pdf["fid"].to_numpy(), sizes), "short": np.repeat(short, sizes), "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+
+    keys = base.select("fid", "form").mapInPandas(spread, "fid bigint, short boolean, key bigint")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")  # most keys are one form's
+    keys = checkpointed(keys.join(shared, "key", "left_semi"))
+    state = base.select("fid", F.col("fid").alias("eid"))
+    marks = base.select("fid", "listed", F.explode("marks").alias("x")).select("fid", "listed", "x.m", "x.w")
+    changed = None
     while True:
-        rich = state.groupBy("entity").agg(F.sum("weight").alias("weight"), F.max("breadth").alias("breadth"))
-        prof = state.select("form", "entity").join(rich, "entity")
-        left_out = F.expr("transform(sequence(1, length(form)), i -> concat(substr(form, 1, i - 1), substr(form, i + 1)))")
-        keys = prof.select("entity", "weight", "breadth", "form", F.explode(F.array_distinct(F.concat(F.array("form"), F.when(F.length("form").between(4, LONGEST), left_out).otherwise(F.array().cast("array<string>"))))).alias("key"))
-        best = keys.groupBy("key").agg(F.max(F.struct("breadth", "weight", "entity")).alias("top"), F.count_distinct("entity").alias("k")).filter("k > 1").drop("k")
-        near = keys.join(best, "key").filter("entity <> top.entity")
-        near = near.filter((F.levenshtein("form", F.col("top.entity")) <= 2) & ~((F.col("breadth") > own) & (F.col("breadth") * 4 > F.col("top.breadth"))))
-        link = near.groupBy("entity").agg(F.max("top").alias("top")).select(F.col("entity").alias("child"), F.col("top.entity").alias("parent"))
+        prof = marks.join(state, "fid").groupBy("eid", "m").agg(F.sum("w").alias("w"), F.max("listed").alias("listed"))
+        prof = prof.groupBy("eid").agg(F.count("*").alias("breadth"), F.sum("w").alias("weight"), F.max("listed").alias("listed"), F.map_from_entries(F.collect_list(F.struct("m", "w"))).alias("marks"))  # an alphabet at most
+        prof = checkpointed(prof)
+        met = keys.join(state, "fid").groupBy("key", "eid").agg(F.min("short").alias("short"))
+        if changed is not None:  # only blocks with a profile that grew can bring anything new
+            met = met.join(met.join(changed, "eid", "left_semi").select("key").distinct(), "key", "left_semi")
+        met = met.join(prof.select("eid", F.struct("listed", "breadth", "weight", "eid").alias("rich")), "eid")
+        top = met.groupBy("key").agg(F.max("rich").alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
+        near = met.join(top, "key").filter("eid <> top.eid").groupBy("eid", "top").agg(F.min("short").alias("short"))
+        a = prof.select("eid", F.col("marks").alias("mine"), F.col("listed").alias("listed_a"))
+        b = prof.select(F.col("eid").alias("pid"), F.col("marks").alias("theirs"), F.col("listed").alias("listed_b"))
+        near = near.withColumn("pid", F.col("top.eid")).join(a, "eid").join(b, "pid")
+        alone = F.size(F.filter(F.map_entries("mine"), lambda x: x["value"] > OWN_SHARE * F.coalesce(F.try_element_at("theirs", x["key"]), F.lit(0))))
+        same = (alone <= F.when(F.col("short"), 0).otherwise(own)) & ~(F.col("listed_a") & F.col("listed_b"))
+        link = near.filter(same).groupBy("eid").agg(F.max("top").alias("top")).select(F.col("eid").alias("child"), F.col("top.eid").alias("parent"))
         link = checkpointed(link)
         if not link.head(1):
-            return state.select("form", "entity")
+            best = base.join(state, "fid").select("form", "eid", F.struct("listed", F.size("marks"), F.aggregate("marks", F.lit(0).cast("bigint"), lambda t, x: t + x["w"]), "form").alias("rich"))
+            named = best.groupBy("eid").agg(F.max("rich").alias("rich")).select("eid", F.col("rich.form").alias("entity"))
+            return best.join(named, "eid").select("form", "entity")
         # a parent that is itself merged in this round hands its children on; richer is a strict order, so there is no circle
         while True:
             up = link.select(F.col("child").alias("parent"), F.col("parent").alias("upper"))
@@ -117,7 +170,8 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
             link = step.drop("moved")
             if not step.filter("moved").head(1):
                 break
-        state = checkpointed(state.join(link, state["entity"] == link["child"], "left").select("form", F.coalesce("parent", "entity").alias("entity"), "weight", "breadth"))
+        changed = link.select(F.col("parent").alias("eid")).distinct()
+        state = checkpointed(state.join(link, state["eid"] == link["child"], "left").select("fid", F.coalesce("parent", "eid").alias("eid")))
 
 
 def author_entities(values: DataFrame) -> DataFrame:
@@ -128,7 +182,8 @@ def author_entities(values: DataFrame) -> DataFrame:
     fixed = people.sparkSession.createDataFrame([(k, c, 1) for k, v in NICKNAMES.items() for c in v], "given string, i string, w bigint")
     nicks = taught.unionByName(fixed).groupBy("given", "i").agg(F.sum("w").alias("w"))
     cand = people.join(nicks, "given", "left").select("value", "n", "surname", F.coalesce("i", F.substring("given", 1, 1)).alias("i"), F.coalesce("w", F.lit(0)).alias("w"))
-    forms = cand.groupBy(F.col("surname").alias("form")).agg(F.sum("n").alias("weight"), F.count_distinct("i").alias("breadth"))
+    initials = cand.filter("i is not null").groupBy(F.col("surname").alias("form"), "i").agg(F.sum("n").alias("w"))
+    forms = initials.groupBy("form").agg(F.collect_list(F.struct(F.col("i").alias("m"), "w")).alias("marks"))  # an alphabet at most
     ent = merge_and_rematch(forms)
     known = cand.join(ent, cand["surname"] == ent["form"]).select("value", "n", "entity", "i", "w")
     # a nickname of several names goes to the one under which the merged surname is known best
@@ -155,7 +210,10 @@ def org_entities(values: DataFrame, entries: DataFrame | None = None) -> DataFra
             yield pd.DataFrame(out, columns=["value", "n", "form", "acronym", "bare"])
 
     orgs = checkpointed(rows.filter("value is not null").mapInPandas(run, "value string, n bigint, form string, acronym string, bare boolean"))
-    forms = orgs.filter("form <> ''").groupBy("form").agg(F.sum("n").alias("weight"), F.max(F.when(F.col("n") == 0, 2).otherwise(1)).alias("breadth"))
+    # one mark for what is written, one more for the entries of the list, which makes them rich
+    forms = orgs.filter("form <> ''").groupBy("form").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("listed"))
+    written = F.struct(F.lit("written").alias("m"), F.greatest(F.col("n"), F.lit(1)).alias("w"))
+    forms = forms.select("form", "listed", F.when(F.col("listed"), F.array(written, F.struct(F.lit("listed").alias("m"), F.lit(1).cast("bigint").alias("w")))).otherwise(F.array(written)).alias("marks"))
     ent = merge_and_rematch(forms)
     named = orgs.filter("form <> ''").join(ent, "form").select("value", "n", "acronym", "entity")
     # an acronym written beside a name joins that profile; alone it stands for the profile that it was written with most
@@ -165,7 +223,14 @@ def org_entities(values: DataFrame, entries: DataFrame | None = None) -> DataFra
     return named.filter("n > 0").select("value", "entity").unionByName(alone).distinct()
 
 
-def same_pairs(entities: DataFrame, kind: str) -> DataFrame:
-    """(kind, name_a, name_b): every pair of different spellings of one entity, name_a first by code points."""
-    a, b = entities.select("entity", F.col("value").alias("name_a")), entities.select("entity", F.col("value").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select(F.lit(kind).alias("kind"), "name_a", "name_b")
+def same_pairs(entities: DataFrame, kind: str, per_task: int = 2_000) -> DataFrame:
+    """(kind, name_a, name_b): every pair of different spellings of one entity, name_a first by code points.
+
+    entities, (value, entity), is the result of the resolution; the pairs are its expansion. An entity with more than
+    per_task spellings is cut into salts of about as many, so no task gets all pairs of one.
+    """
+    sizes = entities.groupBy("entity").agg(F.ceil(F.count("*") / per_task).alias("salts"))
+    salted = entities.join(sizes, "entity")
+    a = salted.select("entity", F.pmod(F.xxhash64("value"), "salts").alias("salt"), F.col("value").alias("name_a"))
+    b = salted.select("entity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("value").alias("name_b"))
+    return a.join(b, ["entity", "salt"]).filter("name_a < name_b").select(F.lit(kind).alias("kind"), "name_a", "name_b")

@@ -1,4 +1,6 @@
-from foliospark.llm.names import author_entities, merge_and_rematch, org_entities, parse_person, same_pairs
+import numpy as np
+
+from foliospark.llm.names import author_entities, left_out_keys, merge_and_rematch, org_entities, parse_person, same_pairs
 from foliospark.llm.org_names import normal
 
 PEOPLE = {
@@ -59,3 +61,45 @@ def test_parts():
     assert parse_person("Abc, Z.") == (["z.", "abc"], "", True)
     assert normal("Vision Lab, Abc Polytechnic").name == "abc polytechnic"
     assert normal("TUSo").bare and normal("Abc Univ.").name == "abc university"
+
+
+def test_keys_of_left_out_characters():
+    for a, b in (("thompson", "thompsn"), ("kim", "kin"), ("abcd", "abdc"), ("ab", "a"), ("é" * 500 + "x", "é" * 500), ("müller", "muller")):
+        assert np.intersect1d(left_out_keys(a), left_out_keys(b)).size
+    assert not np.intersect1d(left_out_keys("thompson"), left_out_keys("tompsan")).size
+    assert len(left_out_keys("x" * 20_000 + "y")) == 3  # equal letters in a row leave out the same
+
+
+def entities_of(spark, rows):
+    return dict(map(tuple, merge_and_rematch(spark.createDataFrame(rows, "form string, weight bigint, breadth bigint")).collect()))
+
+
+def test_chains_do_not_depend_on_weights(spark):
+    chain = ["abcdefghij", "abcdefghiX", "abcdefgYiX", "abcdZfgYiX"]
+    for weights in ((9, 7, 5, 3), (9, 5, 1, 3), (1, 1, 1, 1), (3, 9, 1, 7)):
+        assert len(set(entities_of(spark, [(f, w, 1) for f, w in zip(chain, weights)]).values())) == 1
+
+
+def test_misspelling_with_many_initials(spark):
+    assert set(entities_of(spark, [("thompson", 2600, 26), ("thompsn", 21, 7)]).values()) == {"thompson"}
+    assert set(entities_of(spark, [("thompson", 2600, 26), ("thompsn", 52, 26)]).values()) == {"thompson"}
+    assert len(set(entities_of(spark, [("kim", 500, 20), ("kin", 400, 18)]).values())) == 2
+    assert set(entities_of(spark, [("kim", 500, 20), ("kin", 2, 2)]).values()) == {"kim"}
+
+
+def test_initials_are_united(spark):
+    # b and c have two initials each; only together do they show what a's surname would have to explain
+    rows = [("abcdefgh", [("x", 90), ("y", 90)]), ("abcdefg", [("x", 1), ("z", 2)]), ("abcdeg", [("z", 3), ("q", 1)])]
+    forms = spark.createDataFrame([(f, m) for f, m in rows], "form string, marks array<struct<m:string,w:bigint>>")
+    assert {r[1] for r in merge_and_rematch(forms).collect()} == {"abcdefgh"}
+
+
+def test_listed_stay_apart(spark):
+    forms = spark.createDataFrame([("abcdefgh", [("m", 1)], True), ("abcdefgi", [("m", 1)], True), ("abcdefg", [("m", 1)], False)], "form string, marks array<struct<m:string,w:bigint>>, listed boolean")
+    got = dict(map(tuple, merge_and_rematch(forms).collect()))
+    assert got["abcdefgh"] != got["abcdefgi"] and got["abcdefg"] in (got["abcdefgh"], got["abcdefgi"])
+
+
+def test_pairs_of_a_large_entity(spark):
+    ent = spark.createDataFrame([(f"v{i}", "e") for i in range(50)] + [("w", "f")], "value string, entity string")
+    assert same_pairs(ent, "k", per_task=7).distinct().count() == same_pairs(ent, "k", per_task=7).count() == 50 * 49 // 2
