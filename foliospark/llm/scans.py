@@ -5,8 +5,10 @@ another tells a word broken at a line end from other line ends. They are trained
 wrapped, broken and furnished, so the labels are known. How many papers share a line's shape is counted over all papers.
 
 Words: each word of the corpus asks for candidates through an inverted join of character trigrams; its rarest trigrams
-suffice, since the others cannot hold every word within the edits allowed. A boosted ranker, trained on words of the
-corpus that are corrupted on purpose, scores the candidates; the best one replaces the word if its score is positive.
+suffice, since two misread places cannot touch them all. Which characters are taken for which is learned from the
+corpus: every rare word is aligned with its commonest near candidate, and the pairs of differing strings are counted. A
+boosted ranker, trained on words of the corpus that are corrupted with the learned confusions and with random ones,
+scores the candidates; the best one replaces the word if its score is positive.
 
 Text: `mend` gives the whole repaired texts and the list of the repairs, both of one pass.
 """
@@ -38,15 +40,12 @@ RATIO = 6
 MAX_BROADCAST = 300_000
 MARKS = "-‐­¬"
 
-# What scanners read -> what was printed.
-CONFUSIONS = [
-    ("c", "e"), ("b", "h"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("i", "l"), ("l", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("†", "t"), ("í", "i"),
-    ("9", "g"), ("6", "b"), ("8", "b"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"),
-    ("m", "in"), ("m", "ni"), ("in", "m"), ("h", "li"), ("li", "h"), ("n", "ri"), ("ri", "n"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"),
-]
-_BAD = {}
-for _b, _g in CONFUSIONS:
-    _BAD.setdefault(_b, []).append(_g)
+#: A confusion is supported if so many words show it, and this share of all aligned words; so 1 / share are at most.
+SUPPORTED, SUPPORT_SHARE = 1, 1e-4
+#: What random misreadings put in: anything that a scanner may see for a letter.
+NOISE = "abcdefghijklmnopqrstuvwxyz0123456789!|$@&/\\<>(){}[]+=*%#~^éíñüßøæ†£€¥"
+#: Described words that a process keeps.
+KEPT, KEPT_LENGTH = 400_000, 64
 _LEAD, _TAIL = re.compile(r"^(?:\[\d+\]|\(\d+\))?[\"'“‘(\[{•]*"), re.compile(r"[\"'”’)\]},.;:?]*$")
 _SPACE = re.compile(r"(\s+|[;|]+(?=\S))")
 _ITEM = re.compile(r"\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.\s|[•·▪◦‣]")
@@ -56,15 +55,36 @@ _PAGE = re.compile(r"^(?:[—–-]\s*)?(?:page|pg\.?|p\.?|seite)?\s*[\[(]?(\d{1,
 FEATURES = 20
 
 
+class _Kept(dict):
+    """Makes values as they are asked for and keeps the first KEPT of short keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        v = self.make(key)
+        if len(self) < KEPT and len(key) < KEPT_LENGTH:
+            self[key] = v
+        return v
+
+
 def word(token: str) -> str:
     """A token without adjoining punctuation."""
     return _TAIL.sub("", _LEAD.sub("", token, count=1), count=1)
 
 
+#: Of a string without blanks: letters, capitals, does it begin with a letter, with a capital one.
+_LOOKS = _Kept(lambda t: (sum(map(str.isalpha, t)), sum(map(str.isupper, t)), t[0].isalpha(), t[0].isalpha() and t[0].isupper()))
+#: token -> its word, '' if that is no word of two characters with a letter.
+_WORD = _Kept(lambda t: x if len(x := word(t)) > 1 and any(map(str.isalpha, x)) else "")
+_DIGITS, _ET_AL = re.compile(r"\d+"), re.compile(r"^(.*?)\S+(?: and \S+)? et al\b")
+
+
 def shape(line: str) -> str:
     """A line with digits as #, case off, and the name before `et al` left out."""
-    s = re.sub(r"\d+", "#", " ".join(line.lower().split()))
-    return re.sub(r"^(.*?)\S+(?: and \S+)? et al\b", r"\1et al", s)
+    s = _DIGITS.sub("#", " ".join(line.lower().split()))
+    return _ET_AL.sub(r"\1et al", s) if "et al" in s else s
 
 
 def _ends(line: str, chars: str) -> bool:
@@ -81,12 +101,12 @@ def line_features(lines: list[str], known: dict[str, float], field: str) -> np.n
         s = stripped[i]
         prev, nxt = stripped[full[at - 1]] if at else "", stripped[full[at + 1]] if at + 1 < len(full) else ""
         w = s.split()
-        letters = [x for x in w if x[:1].isalpha()]
-        page = _PAGE.match(s)
+        letters, capitals, begin, begin_capital = map(sum, zip(*map(_LOOKS.__getitem__, w)))
+        page = _PAGE.match(s) if len(s) < 64 else None
         out[i] = (
-            sum(c.isalpha() for c in s) / len(s), page is not None, bool(page and _ROMAN.match(page[1].lower())), len(s) / width, known.get(shape(s), -14.0),
-            "et al" in s.lower(), sum(x[0].isupper() for x in letters) / max(1, len(letters)), i > 0 and not stripped[i - 1], i + 1 < len(lines) and not stripped[i + 1],
-            _ends(prev, ".!?;:\""), _ends(prev, ","), _ends(prev, MARKS), nxt[:1].islower(), _ends(s, ".;:"), _ends(s, ","), len(w), ("abstract", "refs", "title").index(field) if field in ("abstract", "refs", "title") else 3, sum(c.isupper() for c in s) / max(1, sum(c.isalpha() for c in s)), s[0].isdigit() or s[-1].isdigit(), at == 0 or at + 1 == len(full),
+            letters / len(s), page is not None, bool(page and _ROMAN.match(page[1].lower())), len(s) / width, known.get(shape(s), -14.0),
+            "et al" in s.lower(), begin_capital / max(1, begin), i > 0 and not stripped[i - 1], i + 1 < len(lines) and not stripped[i + 1],
+            _ends(prev, ".!?;:\""), _ends(prev, ","), _ends(prev, MARKS), nxt[:1].islower(), _ends(s, ".;:"), _ends(s, ","), len(w), ("abstract", "refs", "title").index(field) if field in ("abstract", "refs", "title") else 3, capitals / max(1, letters), s[0].isdigit() or s[-1].isdigit(), at == 0 or at + 1 == len(full),
         )
     return out
 
@@ -276,8 +296,7 @@ def _words(body: list[str], goes_on: list[bool]) -> tuple[list[tuple[str, bool]]
     tokens = _tokens(body, goes_on)
     seen: dict[tuple[str, bool], None] = {}
     for i, (_, _, t, halves) in enumerate(tokens):
-        x = word(t)
-        if not halves and len(x) > 1 and any(c.isalpha() for c in x):
+        if not halves and (x := _WORD[t]):
             seen[(x, _may_start(tokens, i))] = None
     return list(seen), list(dict.fromkeys(h[1:3] for _, _, _, h in tokens if h and h[1] and h[2]))
 
@@ -297,22 +316,26 @@ def mended(body: list[str], goes_on: list[bool], glue: list[str], fixes: dict[st
     return "".join(out)
 
 
-def explained(w: str, v: str, sites: int = 2) -> int:
-    """Fewest confusions by which the printed word v was read as w; 9 if more than `sites` are needed."""
-    if w == v:
-        return 0
-    if not sites:
-        return 9
-    n = 0
-    while n < min(len(w), len(v)) and w[n] == v[n]:
-        n += 1
-    best = 9
-    for at in range(max(0, n - 1), n + 1):  # a pair may begin one before the first difference
-        for size in (1, 2):
-            for good in _BAD.get(w[at : at + size], ()):
-                if v.startswith(good, at):
-                    best = min(best, 1 + explained(w[at + size :], v[at + len(good) :], sites - 1))
-    return best
+def sites(w: str, v: str) -> list[tuple[str, str]]:
+    """The strings in which w, as read, and v, as printed, differ, in order."""
+    k = 0
+    while k < min(len(w), len(v)) and w[k] == v[k]:
+        k += 1
+    w, v, k = w[k:], v[k:], 0
+    while k < min(len(w), len(v)) and w[-1 - k] == v[-1 - k]:
+        k += 1
+    w, v = w[: len(w) - k], v[: len(v) - k]
+    if max(len(w), len(v)) <= 2:
+        return [(w, v)] if w or v else []
+    size, i, j = max(((k, i, j) for i in range(len(w)) for j in range(len(v)) if (k := _common(w[i:], v[j:]))), key=lambda x: (x[0], -abs(x[1] - x[2])), default=(0, 0, 0))
+    return [*sites(w[:i], v[:j]), *sites(w[i + size :], v[j + size :])] if size else [(w, v)]
+
+
+def _common(a: str, b: str) -> int:
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
 
 
 def grams(w: str) -> list[str]:
@@ -320,59 +343,87 @@ def grams(w: str) -> list[str]:
     return sorted({s[i : i + 3] for i in range(len(s) - 2)})
 
 
-def rank_features(w: str, n: float, v: str, nv: float) -> list[float]:
-    a, b = set(grams(w)), set(grams(v))
-    odd = sum(not (c.isalpha() and c.isascii() or c == "-") for c in w)
-    return [levenshtein(w, v), explained(w, v), math.log1p(n), math.log1p(nv), math.log((nv + 1) / (n + 1)), 2 * len(a & b) / (len(a) + len(b)), odd, len(w), len(v) - len(w), w[:1] == v[:1], w[-1:] == v[-1:]]
+RANKED = 14
 
 
-def train_ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTrees:
-    """Ranker over (word, candidate), from corpus words that are misread here; vocabulary: (word, papers)."""
+def rank_features(w: str, n: float, v: str, nv: float, support: dict[tuple[str, str], int] | None = None, edits: int | None = None) -> list[float]:
+    """Of a word w in n texts and the candidate v in nv; support: confusion -> words that show it."""
+    a, b = set(grams(w)), set(grams(v))
+    odd = sum(not (c.isalpha() and c.isascii() or c == "-") for c in w)
+    where = sites(w, v)
+    least = min((math.log1p((support or {}).get(x, 0)) for x in where), default=0.0)
+    read, printed = [len(x) for x, _ in where] or [0], [len(x) for _, x in where] or [0]
+    return [levenshtein(w, v) if edits is None else edits, len(where), least, max(read), max(printed), min(read + printed), math.log((nv + 1) / (n + 1)), 2 * len(a & b) / (len(a) + len(b)), odd, len(w), w[:1] == v[:1], w[-1:] == v[-1:], any("-" in x for x, _ in where), any(not (c.isascii() and c.isalpha()) for _, x in where for c in x)]
+
+
+def corrupted(w: str, rng: np.random.Generator, by: dict[str, list[tuple[str, int]]]) -> str:
+    """w with one place misread, sometimes two; by: printed -> (read, words that show it). Without by, or if nothing of it
+    is in w, the misreading is random: one or two characters for one or two."""
+    for _ in range(1 + int(rng.random() < 0.1)):
+        fit = [g for g in by if g in w]
+        if fit:  # rare confusions as often as common ones
+            g = fit[int(rng.integers(len(fit)))]
+            places = [at for at in range(len(w)) if w.startswith(g, at)]
+            at = places[int(rng.integers(len(places)))]
+            reads, often = zip(*by[g])
+            b = reads[int(rng.choice(len(reads), p=np.array(often) / sum(often)))]
+        else:
+            kind = rng.random()
+            size, new = (1, 1) if kind < 0.6 else (1, 2) if kind < 0.8 else (2, 1)
+            last = max(0, len(w) - size)
+            at = last if rng.random() < 0.2 else int(rng.integers(0, last + 1))  # a misread end looks like an inflection
+            g, b = w[at : at + size], "".join(NOISE[int(x)] for x in rng.integers(0, len(NOISE), new))
+        w = w[:at] + b + w[at + len(g) :]
+    return w
+
+
+def train_ranker(vocabulary: list[tuple[str, int]], support: dict[tuple[str, str], int] | None = None, seed: int = 7) -> BoostedTrees:
+    """Ranker over (word, candidate), from corpus words that are misread here, half by the learned confusions and half at
+    random; vocabulary: (word, texts that have it)."""
     rng = np.random.default_rng(seed)
-    good = {}
-    for b, g in CONFUSIONS:
-        good.setdefault(g, []).append(b)
+    by: dict[str, list[tuple[str, int]]] = {}
+    for (b, g), k in sorted((support or {}).items()):
+        by.setdefault(g, []).append((b, k))
     words = [(w, n) for w, n in vocabulary if len(w) > 2 and re.fullmatch(r"[a-z-]+", w)]
+    there = {w for w, _ in words}
     index: dict[str, list[int]] = {}
     for i, (w, _) in enumerate(words):
         for g in grams(w):
             index.setdefault(g, []).append(i)
 
-    def near(w: str) -> list[int]:
-        return [i for i, k in Counter(i for g in grams(w) for i in index.get(g, ())).most_common(12) if abs(len(words[i][0]) - len(w)) < 3]
+    def near(w: str, k: int = 6) -> list[int]:
+        return [i for i, _ in Counter(i for g in grams(w) for i in index.get(g, ())).most_common(2 * k) if words[i][0] != w and abs(len(words[i][0]) - len(w)) < 3][:k]
 
-    # words that look misread themselves teach nothing: they would count as clean here
-    doubtful = [any(words[j][1] >= RATIO * n and explained(w, words[j][0], 1) < 9 for j in near(w) if words[j][0] != w) for w, n in words]
     x, y = [], []
     for i, (w, n) in enumerate(words):
-        if doubtful[i]:
+        close = near(w)
+        # words that look misread themselves teach nothing: they would count as clean here
+        if any(words[j][1] >= RATIO * n and levenshtein(w, words[j][0]) <= 2 for j in close):
             continue
-        sites = [(at, g) for g in good for at in range(len(w)) if w.startswith(g, at)]
-        for _ in range(3):
-            if not sites:
-                break
-            bad = w
-            for _ in range(1 + int(rng.random() < 0.1)):
-                at, g = sites[int(rng.integers(len(sites)))]
-                if bad.startswith(g, at):
-                    bad = bad[:at] + good[g][int(rng.integers(len(good[g])))] + bad[at + len(g) :]
-            if bad == w:
+        for how in (by, by, by, {}, {}, {}):
+            bad = corrupted(w, rng, how)
+            if bad in there or len(bad) < 3:
                 continue
-            seen = rng.integers(0, max(2, min(n // RATIO, 40)))
-            for j in {i, *near(bad)}:
+            seen = int(n / RATIO ** rng.uniform(1, 6))
+            for j in dict.fromkeys([i, *near(bad, 4)]):
                 if words[j][1] >= RATIO * seen:
-                    x.append(rank_features(bad, seen, *words[j]))
+                    x.append(rank_features(bad, seen, *words[j], support))
                     y.append(j == i)
-        # the word itself, were it rare, has no correction: inflections and names must not be taken for misreadings
-        for c in {w, w[:-1], w + "s", w[: len(w) // 2], w[len(w) // 2 :]}:
+        # a spelling without accents is no misreading of the one with them
+        at = int(rng.integers(0, len(w)))
+        x.append(rank_features(w, int(n / RATIO ** rng.uniform(1, 6)), w[:at] + "äéíöüñç"[int(rng.integers(7))] + w[at + 1 :], n, support))
+        y.append(False)
+        # the word itself, were it rare, has no correction: inflections, compounds and names must not be taken for misreadings
+        cut = int(rng.integers(1, len(w)))
+        for c in {w, w[:-1], w + "s", w[: len(w) // 2], w[len(w) // 2 :], w[:cut] + "-" + w[cut:], w.replace("-", "")}:
             if len(c) > 2:
-                seen = rng.integers(0, 6)
-                for j in near(c):
-                    if words[j][0] != c and words[j][1] >= RATIO * seen:
-                        x.append(rank_features(c, seen, *words[j]))
+                seen = int(n / RATIO ** rng.uniform(1, 6))
+                for j in dict.fromkeys([*([i] if c != w else []), *near(c, 4)]):
+                    if words[j][1] >= RATIO * seen and words[j][0] != c:
+                        x.append(rank_features(c, seen, *words[j], support))
                         y.append(False)
     if not any(y):
-        x, y = [[9.0] * 11, [0.0] * 11], [False, True]
+        x, y = [[9.0] * RANKED, [0.0] * RANKED], [False, True]
     return BoostedTrees(rounds=60, depth=4).fit(np.array(x), np.array(y))
 
 
@@ -389,32 +440,60 @@ def recased(token: str, right: str, capital: bool) -> str:
     return right[0].upper() + right[1:] if upper else right
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """(w, v, nv): the words with a correction; words: (w, n, trusted) with n papers each; only trusted ones are candidates.
+def candidates(words: DataFrame) -> DataFrame:
+    """(w, n, trusted, v, nv, edits): for each word the trusted ones within three edits that are in at least three texts
+    and in RATIO times as many as the word; words: (w, n, trusted).
 
-    The trigrams of a word that occur in the fewest candidates are joined with the candidates' inverted index; an edit
-    touches at most four trigrams, so nine of them always hold one that a candidate within two edits shares.
+    The nine trigrams of a word that occur in the fewest candidates are joined with the candidates' inverted index. One
+    misread place of up to two characters touches at most four trigrams, so of nine always one is left that a candidate
+    with two such places shares; shorter words ask with all they have.
     """
     trigrams = F.expr("array_distinct(transform(sequence(1, length(w) + 1), i -> substr(concat('##', w, '#'), i, 3)))")
     able = words.filter((F.length("w") > 2) & F.col("w").rlike("[a-z]"))
     cand = able.filter("trusted and n >= 3")
     posting = cand.select(F.col("w").alias("v"), F.col("n").alias("nv"), F.explode(trigrams).alias("g"))
     often = posting.groupBy("g").agg(F.count("*").alias("k"))
-    asked = able.select("w", "n", F.explode(trigrams).alias("g")).join(often, "g")
-    asked = asked.groupBy("w", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), 1, 9).alias("gs"))  # as many as letters
-    pairs = asked.select("w", "n", F.explode("gs.g").alias("g")).join(posting, "g").filter((F.col("nv") >= RATIO * F.greatest("n", F.lit(1))) & (F.abs(F.length("w") - F.length("v")) <= 2))
-    pairs = pairs.select("w", "n", "v", "nv").distinct().filter(F.levenshtein("w", "v") <= 3)
-    sample = [(r[0], r[1]) for r in cand.orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).collect()]
-    ranker = train_ranker(sample)
+    asked = able.select("w", "n", "trusted", F.explode(trigrams).alias("g")).join(often, "g")
+    asked = asked.groupBy("w", "n", "trusted").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), 1, 9).alias("gs"))  # as many as letters
+    pairs = asked.select("w", "n", "trusted", F.explode("gs.g").alias("g")).join(posting, "g").filter((F.col("nv") >= RATIO * F.greatest("n", F.lit(1))) & (F.abs(F.length("w") - F.length("v")) <= 2))
+    return pairs.select("w", "n", "trusted", "v", "nv").distinct().withColumn("edits", F.levenshtein("w", "v")).filter(F.col("edits") <= 3)
+
+
+def learned_confusions(pairs: DataFrame) -> dict[tuple[str, str], int]:
+    """(read, printed) -> words that show it: each trusted word that has one nearest candidate is aligned with it; one place
+    of up to two characters must explain it. Counted over all words; those with too little support are left out."""
+    least = pairs.filter("trusted").groupBy("w", "edits").agg(F.count("*").alias("k"), F.min("v").alias("v"))
+    best = least.groupBy("w").agg(F.min(F.struct("edits", "k", "v")).alias("x")).filter("x.k = 1").select("w", "x.v")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [x[0] for w, v in zip(pdf["w"], pdf["v"]) if len(x := sites(w, v)) == 1 and all(0 < len(c) <= 2 for c in x[0])]
+            yield pd.DataFrame(rows, columns=["b", "g"])
+
+    counts = checkpointed(best.mapInPandas(align, "b string, g string").groupBy("b", "g").agg(F.count("*").alias("k")))
+    total = counts.agg(F.sum("k")).head()[0] or 0
+    return {(r[0], r[1]): r[2] for r in counts.filter(F.col("k") >= max(SUPPORTED, total * SUPPORT_SHARE)).collect()}  # at most 1 / SUPPORT_SHARE
+
+
+def corrections(words: DataFrame) -> DataFrame:
+    """(w, v, nv): the words with a correction; words: (w, n, trusted) with n texts each; only trusted ones are candidates.
+
+    A correction wants evidence: a right word that is itself in under three texts, or in under RATIO times as many as
+    the misread one, can't be told from it and is left.
+    """
+    pairs = checkpointed(candidates(words))
+    support = learned_confusions(pairs)
+    sample = [(r[0], r[1]) for r in words.filter("trusted and n >= 3 and length(w) > 2").orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).select("w", "n").collect()]
+    shared = words.sparkSession.sparkContext.broadcast((train_ranker(sample, support), support))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranker, support_ = shared.value
         for pdf in batches:
-            x = np.array([rank_features(*r) for r in zip(pdf["w"], pdf["n"], pdf["v"], pdf["nv"])]).reshape(len(pdf), 11)
+            x = np.array([rank_features(w, n, v, nv, support_, d) for w, n, v, nv, d in zip(pdf["w"], pdf["n"], pdf["v"], pdf["nv"], pdf["edits"])]).reshape(len(pdf), RANKED)
             yield pdf.assign(s=ranker.score(x))[["w", "v", "nv", "s"]]
 
     scored = pairs.mapInPandas(score, "w string, v string, nv bigint, s double").filter("s > 0")
-    best = scored.groupBy("w").agg(F.max(F.struct("s", "nv", "v")).alias("x")).select("w", F.col("x.v").alias("v"), F.col("x.nv").alias("nv"))
-    return best
+    return scored.groupBy("w").agg(F.max(F.struct("s", "nv", "v")).alias("x")).select("w", F.col("x.v").alias("v"), F.col("x.nv").alias("nv"))
 
 
 def repairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -442,19 +521,21 @@ def mend(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFra
     total = long.filter(F.col("field") == fields[0]).count() or 1
     # shapes shared by many papers: at most (lines of a paper) / SHAPE_SHARE of them
     line = F.explode(F.split("text", r"\r\n|\r|\n")).alias("line")
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), r"\d+", "#"), r"(?i)^(.*?)\S+(?: and \S+)? et al\b", "$1et al"), "^ +| +$", "")
-    shapes = long.filter(F.col("text").rlike(r"[\r\n]")).select(line).select(F.lower(s).alias("s")).filter("s <> '' and length(s) < 90")
+    numbers = F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")), r"\d+", "#")
+    short = long.filter(F.col("text").rlike(r"[\r\n]")).select(line).select(numbers.alias("s")).filter("s <> ''")
+    s = F.when(F.col("s").contains("et al"), F.regexp_replace("s", r"^(.*?)\S+(?: and \S+)? et al\b", "$1et al")).otherwise(F.col("s"))
+    shapes = short.select(s.alias("s")).filter("length(s) < 90")
     least = max(3, math.ceil(total * SHAPE_SHARE))
     known = {r[0]: math.log(r[1] / total) for r in shapes.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
     clean = long.filter(~F.col("text").rlike(r"[\r\n]") & (F.length("text") > F.when(F.col("field") == "title", 20).otherwise(200)))
     sample = [(r[0], r[1]) for r in clean.orderBy(F.xxhash64("k", "field"), "k").limit(SAMPLE_TEXTS).select("field", "text").collect()]
     found = Counter(t for f, x in sample if f == "refs" for t in re.findall(r"(?:\bin |[,.]\" |\. )([A-Z][^,.\d\"]{8,60}), (?:pp|vol)\.", x))
     titles = [t for t, _ in found.most_common(60)]
-    models = train_lines(sample, titles, [x for f, x in sample if f == "title"], known)
+    models = df.sparkSession.sparkContext.broadcast((train_lines(sample, titles, [x for f, x in sample if f == "title"], known), known))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), models, known)
+            read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), *models.value)
             rows = [(row, k, field, *page) for row, k, field, page in zip(pdf["row"], pdf["k"], pdf["field"], read_all)]
             yield pd.DataFrame(rows, columns=["row", "k", "field", "header", "pageno", "seen", "breaks", "body", "goes_on", "glue"])
 

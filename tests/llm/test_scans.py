@@ -55,9 +55,50 @@ def _broken(text):
             yield a.split()[-1][:-1] + b.split()[0]
 
 
-def test_explained():
-    assert scans.explained("mctric", "metric") == 1 and scans.explained("leaming", "learning") == 1 and scans.explained("cahbration", "calibration") == 1
-    assert scans.explained("rnctric", "metric") == 2 and scans.explained("layers", "layer") == 9 and scans.explained("metric", "metric") == 0
+def test_sites():
+    for w, v, want in (("mctric", "metric", [("c", "e")]), ("leaming", "learning", [("m", "rn")]), ("cahbration", "calibration", [("h", "li")]), ("layers", "layer", [("s", "")]), ("metric", "metric", []), ("althoiigh", "although", [("ii", "u")]), ("rnctric", "metric", [("rn", "m"), ("c", "e")])):
+        got = scans.sites(w, v)
+        assert got == want or (w == "rnctric" and "".join(b for b, _ in got) == "rnc")
+
+
+def test_confusions_are_learned(spark):
+    rows = [(w, 400, True) for w in WORDS] + [(w.replace("e", "q", 1), 3, True) for w in WORDS if "e" in w] + [(w + "s", 2, True) for w in WORDS]
+    words = spark.createDataFrame(rows, "w string, n bigint, trusted boolean")
+    pairs = scans.candidates(words)
+    support = scans.learned_confusions(pairs)
+    assert max(support, key=support.get) == ("q", "e") and all(b and g for b, g in support)
+    fixed = {r["w"]: r["v"] for r in scans.corrections(words).collect()}
+    assert all(fixed.get(w.replace("e", "q", 1)) == w for w in WORDS if "e" in w) and not set(fixed) & {w + "s" for w in WORDS}
+
+
+def test_candidates_hold_every_word_with_two_misread_places(spark):
+    rng = np.random.default_rng(2)
+    common = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(5, 13)))) for _ in range(150)]
+    bad = {}
+    for w in common:
+        b = scans.corrupted(w, rng, {})
+        b = b if len(b) < 8 else scans.corrupted(b, rng, {})
+        if any(c.isalpha() for c in b):
+            bad[b] = w
+    words = spark.createDataFrame([(w, 90, True) for w in set(common)] + [(b, 2, True) for b in bad if b not in common], "w string, n bigint, trusted boolean")
+    got = {(r["w"], r["v"]) for r in scans.candidates(words).collect()}
+    want = {(b, w) for b in bad if b not in common for w in set(common) if scans.levenshtein(b, w) <= 3 and abs(len(b) - len(w)) <= 2 and len(b) > 6}
+    near = {(b, w) for b, w in want if scans.levenshtein(b, w) <= 2}
+    assert near and near <= got and len(want & got) >= 0.98 * len(want)
+
+
+def test_unlisted_misreadings_are_ranked(spark):
+    vocabulary = [(w + e, 900 - 7 * i) for i, w in enumerate(WORDS) for e in ("", "s", "ing")] + [(a + b, 500) for a in ("pro", "con", "inter", "sub", "re") for b in ("ject", "duct", "form", "struct", "pose", "spect", "vent", "scribe", "tract", "mission")]
+    model = scans.train_ranker(vocabulary, {("c", "e"): 40, ("rn", "m"): 20})
+    hits = n = 0
+    for w, k in vocabulary:
+        for read, printed in (("o", "a"), ("f", "t"), ("v", "r"), ("3", "e"), ("$", "s"), ("@", "a"), ("n", "h")):
+            if printed in w[1:]:
+                bad = w[0] + w[1:].replace(printed, read, 1)
+                scored = [(model.score(np.array([scans.rank_features(bad, 1, v, m)]))[0], v) for v, m in vocabulary if abs(len(v) - len(bad)) < 3 and scans.levenshtein(bad, v) <= 3]
+                n += 1
+                hits += max(scored)[0] > 0 and max(scored)[1] == w
+    assert n > 100 and hits > 0.8 * n
 
 
 def test_recased():
