@@ -36,6 +36,8 @@ SAMPLE_TEXTS, SAMPLE_WORDS = 900, 1500
 SHAPE_SHARE = 1e-4
 #: A candidate must be in so many times the papers that the word is in.
 RATIO = 6
+#: Edits between a misread word and its candidates.
+EDITS = 3
 #: Corrections up to this number are broadcast, more are joined by shuffle.
 MAX_BROADCAST = 300_000
 MARKS = "-‐­¬"
@@ -395,6 +397,12 @@ def train_ranker(vocabulary: list[tuple[str, int]], support: dict[tuple[str, str
         return [i for i, _ in Counter(i for g in grams(w) for i in index.get(g, ())).most_common(2 * k) if words[i][0] != w and abs(len(words[i][0]) - len(w)) < 3][:k]
 
     x, y = [], []
+
+    def add(bad: str, seen: int, v: str, n: int, right: bool) -> None:
+        if n >= RATIO * seen and bad != v and (d := levenshtein(bad, v)) <= EDITS:  # others are never candidates
+            x.append(rank_features(bad, seen, v, n, support, d))
+            y.append(right)
+
     for i, (w, n) in enumerate(words):
         close = near(w)
         # words that look misread themselves teach nothing: they would count as clean here
@@ -406,22 +414,17 @@ def train_ranker(vocabulary: list[tuple[str, int]], support: dict[tuple[str, str
                 continue
             seen = int(n / RATIO ** rng.uniform(1, 6))
             for j in dict.fromkeys([i, *near(bad, 4)]):
-                if words[j][1] >= RATIO * seen:
-                    x.append(rank_features(bad, seen, *words[j], support))
-                    y.append(j == i)
+                add(bad, seen, *words[j], j == i)
         # a spelling without accents is no misreading of the one with them
         at = int(rng.integers(0, len(w)))
-        x.append(rank_features(w, int(n / RATIO ** rng.uniform(1, 6)), w[:at] + "äéíöüñç"[int(rng.integers(7))] + w[at + 1 :], n, support))
-        y.append(False)
+        add(w, int(n / RATIO ** rng.uniform(1, 6)), w[:at] + "äéíöüñç"[int(rng.integers(7))] + w[at + 1 :], n, False)
         # the word itself, were it rare, has no correction: inflections, compounds and names must not be taken for misreadings
         cut = int(rng.integers(1, len(w)))
         for c in {w, w[:-1], w + "s", w[: len(w) // 2], w[len(w) // 2 :], w[:cut] + "-" + w[cut:], w.replace("-", "")}:
             if len(c) > 2:
                 seen = int(n / RATIO ** rng.uniform(1, 6))
                 for j in dict.fromkeys([*([i] if c != w else []), *near(c, 4)]):
-                    if words[j][1] >= RATIO * seen and words[j][0] != c:
-                        x.append(rank_features(c, seen, *words[j], support))
-                        y.append(False)
+                    add(c, seen, *words[j], False)
     if not any(y):
         x, y = [[9.0] * RANKED, [0.0] * RANKED], [False, True]
     return BoostedTrees(rounds=60, depth=4).fit(np.array(x), np.array(y))
@@ -456,7 +459,7 @@ def candidates(words: DataFrame) -> DataFrame:
     asked = able.select("w", "n", "trusted", F.explode(trigrams).alias("g")).join(often, "g")
     asked = asked.groupBy("w", "n", "trusted").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), 1, 9).alias("gs"))  # as many as letters
     pairs = asked.select("w", "n", "trusted", F.explode("gs.g").alias("g")).join(posting, "g").filter((F.col("nv") >= RATIO * F.greatest("n", F.lit(1))) & (F.abs(F.length("w") - F.length("v")) <= 2))
-    return pairs.select("w", "n", "trusted", "v", "nv").distinct().withColumn("edits", F.levenshtein("w", "v")).filter(F.col("edits") <= 3)
+    return pairs.select("w", "n", "trusted", "v", "nv").distinct().withColumn("edits", F.levenshtein("w", "v")).filter(F.col("edits") <= EDITS)
 
 
 def learned_confusions(pairs: DataFrame) -> dict[tuple[str, str], int]:
