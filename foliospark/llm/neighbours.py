@@ -1,10 +1,14 @@
 """Most similar vectors for every vector (p5): shifted Hilbert curves, range-partitioned, windows merged and reranked.
 
 Each curve turns the vectors (a seeded orthonormal projection), shifts them and orders them by their Hilbert key. The
-order is made by range partitioning; a row's place in it is its partition's offset plus its place inside. Places are
-cut into blocks of equal size with a margin of `window` rows on both sides, so no block grows with the data's density.
-In a block every vector meets its `window` followers and predecessors; the nearest of all curves are merged, reranked by
-true distance and cut to k. Vectors at one place are one node with their smallest ids, so a crowded place costs nothing.
+order is made by range partitioning; each partition is walked once as a stream, in which every vector meets its `window`
+followers and predecessors, so no group grows with the data's density. The first curve gives every vector a list; the
+others send on only what beats that list and isn't on it. The nearest of all curves are merged, reranked by true distance
+and cut to k. Vectors at one place are one node with their smallest ids, so a crowded place costs nothing.
+
+Curves fill at most HILBERT_AXES dimensions. Vectors of more have longer lists, and rounds of rematching follow: the
+vectors on one list meet each other, and every list takes what is nearer than its last. The pairs of a list are bounded
+by its length squared, and only those that improve a list are sent on.
 """
 
 from __future__ import annotations
@@ -19,8 +23,12 @@ from pyspark.sql import functions as F
 from foliospark.sources.tables import checkpointed
 
 CURVES, WINDOW, BLOCK_ROWS = 6, 72, 16_384
+HILBERT_AXES = 6
+#: Above HILBERT_AXES dimensions: entries of a list, and rounds in which the lists rematch.
+WIDE, ROUNDS = 24, 4
 #: Places with more than this share of all rows are few (1 / share at most) and joined by broadcast.
 CROWDED_SHARE = 1 / 256
+_NEAR = "array<struct<d:double,node:bigint>>"
 
 
 def projection(d: int, m: int, seed: int) -> np.ndarray:
@@ -58,85 +66,187 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _block_neighbours(pdf: pd.DataFrame, k: int, window: int, block_rows: int) -> pd.DataFrame:
-    """Nearest k within +-window places for the rows that belong to the block."""
-    pdf = pdf.sort_values("place", kind="stable")
-    v = np.asarray(pdf["v"].tolist(), dtype=float)
-    ids, n = pdf["node"].to_numpy(), len(pdf)
-    offsets = [o for o in range(-window, window + 1) if o]
-    dist = np.full((n, len(offsets)), np.inf)
-    for c, o in enumerate(offsets):
-        if o > 0 and o < n:
-            # summed in the order of the columns, as anyone would who checks the distances
-            s = np.zeros(n - o)
-            for j in range(v.shape[1]):
-                s += (v[:-o, j] - v[o:, j]) ** 2
-            d = np.sqrt(s)
-            dist[:-o, c] = d
-            dist[o:, window - o] = d
-    own = np.flatnonzero(pdf["place"].to_numpy() // block_rows == pdf["block"].to_numpy())
-    d, take = dist[own], min(k, len(offsets))
-    # ties at the k-th distance go by id, so ranks are by (distance, id)
-    near = np.asarray(offsets)[None, :] + own[:, None]
-    other = np.where((near >= 0) & (near < n), ids[np.clip(near, 0, n - 1)], np.iinfo(np.int64).max)
-    order = np.lexsort((other, d))[:, :take]
-    rows = np.arange(len(own))[:, None]
-    dd, oo = d[rows, order], other[rows, order]
-    keep = np.isfinite(dd)
-    return pd.DataFrame({"node": ids[own], "near": [list(zip(a[f].tolist(), b[f].tolist())) for a, b, f in zip(dd, oo, keep)]})
-
-
-def curve_neighbours(nodes: DataFrame, k: int, curves: int = CURVES, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(node, near array<struct<d, node>>): up to k other nodes by (distance, id); nodes: (node bigint, v array<double>)."""
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows; in few dimensions summed in the order of the columns, as anyone would who checks them."""
+    if a.shape[1] > HILBERT_AXES:
+        return np.einsum("ij,ij->i", a - b, a - b)
+    s = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        s += (a[:, j] - b[:, j]) ** 2
+    return s
+
+
+def window_neighbours(v: np.ndarray, ids: np.ndarray, first: int, last: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the nearest k by (distance, id) of the rows first to last among the `window` before and after
+    each; infinite where there are fewer."""
+    n, m = len(v), last - first
+    dist = np.full((m, 2 * window), np.inf)
+    for o in range(1, window + 1):
+        lo, hi = max(0, first - o), min(n - o, last)
+        if lo >= hi:
+            continue
+        d = np.sqrt(_squares(v[lo:hi], v[lo + o : hi + o]))  # of row i and i + o, i from lo to hi
+        a = max(lo, first)
+        dist[a - first : hi - first, window + o - 1] = d[a - lo :]
+        b = min(hi, last - o)  # rows i + o that lie within
+        if b > lo:
+            dist[lo + o - first : b + o - first, window - o] = d[: b - lo]
+    steps = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
+    near = np.clip(np.arange(first, last)[:, None] + steps[None, :], 0, n - 1)
+    take, rows = min(k, 2 * window), np.arange(m)[:, None]
+    some = min(2 * window, take + 8)
+    pick = np.argpartition(dist, some - 1, axis=1)[:, :some] if some < 2 * window else np.broadcast_to(np.arange(2 * window), dist.shape)
+    dd, oo = dist[rows, pick], ids[near[rows, pick]]
+    order = np.lexsort((oo, dd))[:, :take]
+    dd, oo = dd[rows, order], oo[rows, order]
+    # more ties at the last distance than were picked: all are ranked
+    tied = np.flatnonzero((dist <= dd[:, -1:]).sum(axis=1) > some) if some < 2 * window else []
+    for r in tied:
+        if np.isfinite(dd[r, -1]):
+            full = np.lexsort((ids[near[r]], dist[r]))[:take]
+            dd[r], oo[r] = dist[r, full], ids[near[r, full]]
+    return dd, oo
+
+
+def _pairs(dd: np.ndarray, oo: np.ndarray, keep: np.ndarray) -> list[list[tuple[float, int]]]:
+    return [list(zip(a[f].tolist(), b[f].tolist())) for a, b, f in zip(dd, oo, keep)]
+
+
+def _walk(batches: Iterator[pd.DataFrame], k: int, window: int, first: bool) -> Iterator[pd.DataFrame]:
+    """Lists of the rows of one partition, which come in curve order; rows are held until their followers have come. With
+    `first` every list and the vector with it, else what beats `bound` and is not `known`."""
+    held: pd.DataFrame | None = None
+    v = np.zeros((0, 0))
+    done = 0  # held rows that have their lists already
+
+    def lists(pdf: pd.DataFrame, v: np.ndarray, lo: int, hi: int) -> pd.DataFrame | None:
+        ids = pdf["node"].to_numpy()
+        dd, oo = window_neighbours(v, ids, lo, hi, k, window)
+        keep = np.isfinite(dd)
+        own = pdf.iloc[lo:hi]
+        if first:
+            return pd.DataFrame({"node": ids[lo:hi], "v": own["v"].tolist(), "near": _pairs(dd, oo, keep)})
+        keep &= dd <= own["bound"].to_numpy()[:, None]
+        known = np.stack([np.frombuffer(x, "<i8") for x in own["known"]]) if len(own) else np.zeros((0, k), np.int64)
+        for j in range(known.shape[1]):
+            keep &= oo != known[:, j : j + 1]
+        some = keep.any(axis=1)
+        if not some.any():
+            return None
+        return pd.DataFrame({"node": ids[lo:hi][some], "near": _pairs(dd[some], oo[some], keep[some])})
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
+        held, v = (pdf, new) if held is None else (pd.concat([held, pdf], ignore_index=True), np.concatenate([v, new]))
+        ready = len(held) - window
+        if ready > done:
+            if (out := lists(held, v, done, ready)) is not None:
+                yield out
+            cut = max(0, ready - window)
+            held, v, done = held.iloc[cut:].reset_index(drop=True), v[cut:], ready - cut
+    if held is not None and len(held) > done and (out := lists(held, v, done, len(held))) is not None:
+        yield out
+
+
+def curve_neighbours(nodes: DataFrame, k: int, curves: int = CURVES, window: int = WINDOW, block_rows: int = BLOCK_ROWS, wide: int = WIDE, rounds: int = ROUNDS) -> DataFrame:
+    """(node, near array<struct<d, node>>): up to k other nodes by (distance, id); nodes: (node bigint, v array<double>).
+
+    block_rows: the least rows of a range partition; at its ends a vector misses what lies beyond, on this curve only.
+    """
     spark = nodes.sparkSession
-    dim = nodes.select(F.max(F.size("v"))).head()[0] or 0
+    size, span, total = nodes.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))), F.count("*")).head()
+    dim = size or 0
     if dim < 1:
-        return spark.createDataFrame([], "node bigint, near array<struct<d:double,node:bigint>>")
-    m = min(dim, 6)
+        return spark.createDataFrame([], f"node bigint, near {_NEAR}")
+    m = min(dim, HILBERT_AXES)
     bits = 60 // m
-    span = nodes.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).head()[0] or 1.0
-    span = float(span) * np.sqrt(dim) * 1.001 or 1.0
-    total = nodes.count()
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, total // (4 * window) or 1))
-    found = None
-    for c in range(curves):
+    span = float(span or 1.0) * np.sqrt(dim) * 1.001 or 1.0
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, total // block_rows))
+    most = max(k, wide) if dim > m else k
+
+    def along(rows: DataFrame, c: int, first: bool) -> DataFrame:
         turn = projection(dim, m, c) if c or m < dim else np.eye(dim)
         shift = np.random.default_rng(1000 + c).uniform(0, 0.5, m)
 
-        def keyed(batches: Iterator[pd.DataFrame], turn=turn, shift=shift) -> Iterator[pd.DataFrame]:
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 v = np.asarray(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
                 unit = (v @ turn / span + 1) / 2  # in 0..1
                 cells = np.clip((unit + shift) / 1.5 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 yield pdf.assign(key=hilbert_keys(cells, bits))
 
-        ranged = nodes.mapInPandas(keyed, "node bigint, v array<double>, key bigint").repartitionByRange(parts, "key", "node")
-        ranged = checkpointed(ranged.sortWithinPartitions("key", "node").select("node", "v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
-        ranged = ranged.withColumn("i", F.col("i").bitwiseAND(F.lit((1 << 33) - 1)))
-        sizes = dict(ranged.groupBy("p").agg(F.max("i") + 1).collect())  # one number per range partition
-        offset, at = {}, 0
-        for p in sorted(sizes):
-            offset[p], at = at, at + sizes[p]
-        offsets = F.create_map(*(F.lit(x) for kv in offset.items() for x in kv)) if offset else F.lit(None)
-        placed = ranged.select("node", "v", (offsets[F.col("p")] + F.col("i")).cast("bigint").alias("place"))
-        first, last = F.floor((F.col("place") - window) / block_rows), F.floor((F.col("place") + window) / block_rows)
-        blocks = placed.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-        got = blocks.groupBy("block").applyInPandas(lambda pdf: _block_neighbours(pdf, k, window, block_rows), "node bigint, near array<struct<d:double,node:bigint>>")
-        found = got if found is None else found.unionByName(got)
-    merged = found.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"))  # curves x k entries at most
+        extra = "" if first else ", bound double, known binary"
+        ordered = rows.mapInPandas(keyed, f"node bigint, v array<double>{extra}, key bigint").repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").drop("key")
+        out = f"node bigint, v array<double>, near {_NEAR}" if first else f"node bigint, near {_NEAR}"
+        return ordered.mapInPandas(lambda batches: _walk(batches, most, window, first), out)
+
+    start = checkpointed(along(nodes, 0, True))
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bound = [x[-1]["d"] if len(x) == most else np.inf for x in pdf["near"]]
+            known = [np.array([*(e["node"] for e in x), *[-1 << 63] * (most - len(x))], "<i8").tobytes() for x in pdf["near"]]
+            yield pdf[["node", "v"]].assign(bound=bound, known=known)
+
+    found = start.select("node", "near")
+    if curves > 1:
+        rest = start.mapInPandas(marked, "node bigint, v array<double>, bound double, known binary")
+        for c in range(1, curves):
+            found = found.unionByName(along(rest, c, False))
+    near = _best(found, most)
+    if dim > m:
+        for _ in range(rounds):
+            near = _best(near.unionByName(rematch(checkpointed(near), nodes)), most)
+        near = near.select("node", F.slice("near", 1, k).alias("near"))
+    return near
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each node over all its lists, each a few entries."""
+    merged = found.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("node", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
-def nearest(df: DataFrame, id_col: str, coords: list[str], k: int = 8, **curve) -> DataFrame:
+def rematch(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, near): for the nodes on one list with its owner, what they are to each other, where it is nearer than the
+    last of their own lists and not on them."""
+    own = near.select("node", F.col("near.node").alias("known"), F.element_at("near.d", -1).alias("bound"))
+    with_v = nodes.join(own, "node").select(F.col("node").alias("a"), F.struct("node", "v", "bound", "known").alias("x"))
+    member = near.select(F.col("node").alias("u"), F.explode(F.concat(F.array("node"), "near.node")).alias("a"))
+    groups = member.join(with_v, "a").groupBy("u").agg(F.collect_list("x").alias("xs"))  # a list and its owner
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            node, lists = [], []
+            for xs in pdf["xs"]:
+                ids = np.array([x["node"] for x in xs], np.int64)
+                v = np.array([x["v"] for x in xs], dtype=float)
+                bound = np.array([x["bound"] for x in xs])
+                dots = v @ v.T
+                sq = np.diag(dots)
+                good = (sq[:, None] + sq[None, :] - 2 * dots <= (bound * bound)[:, None] * (1 + 1e-9) + 1e-12) & (ids[:, None] != ids[None, :])
+                for i in np.flatnonzero(good.any(axis=1)):
+                    j = np.flatnonzero(good[i] & ~np.isin(ids, xs[i]["known"]))
+                    if len(j):
+                        d = np.sqrt(_squares(np.broadcast_to(v[i], (len(j), v.shape[1])), v[j]))
+                        node.append(ids[i])
+                        lists.append(list(zip(d.tolist(), ids[j].tolist())))
+            if node:
+                yield pd.DataFrame({"node": np.array(node, np.int64), "near": lists})
+
+    return groups.mapInPandas(meet, f"node bigint, near {_NEAR}")
+
+
+def nearest(df: DataFrame, id_col: str, coords: list[str] | str, k: int = 8, **curve) -> DataFrame:
     """(id, other): the k nearest other ids of every id by Euclidean distance, of equally far ones the smaller id.
 
-    Rows with a null or NaN coordinate or a null id do not count; repeated rows count once; extra columns are ignored.
+    coords: the columns of the coordinates, or one column of arrays, all of one length. Rows with a null or NaN coordinate or a null id do not count; repeated rows count once; extra columns are ignored.
     Fewer than k others give fewer rows; an empty table gives none.
     """
-    bad = F.lit(False)
-    for c in coords:
-        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
-    pts = df.filter(~bad & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.array(*(F.col(c).cast("double") + 0.0 for c in coords)).alias("v")).dropDuplicates(["id"])
+    v = F.transform(coords, lambda x: x.cast("double") + 0.0) if isinstance(coords, str) else F.array(*(F.col(c).cast("double") + 0.0 for c in coords))
+    pts = df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).dropDuplicates(["id"])
     pts = checkpointed(pts)
     place = Window.partitionBy("v").orderBy("id")
     firsts = pts.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= k + 1)  # cut before the shuffle
