@@ -87,7 +87,8 @@ def window_neighbours(v: np.ndarray, ids: np.ndarray, first: int, last: int, k:
             continue
         d = np.sqrt(_squares(v[lo:hi], v[lo + o : hi + o]))  # of row i and i + o, i from lo to hi
         a = max(lo, first)
-        dist[a - first : hi - first, window + o - 1] = d[a - lo :]
+        if hi > a:
+            dist[a - first : hi - first, window + o - 1] = d[a - lo :]
         b = min(hi, last - o)  # rows i + o that lie within
         if b > lo:
             dist[lo + o - first : b + o - first, window - o] = d[: b - lo]
