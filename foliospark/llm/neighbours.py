@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def window_neighbours(v: np.ndarray, ids: np.ndarray, first: int, last: int, k:
         lo, hi = max(0, first - o), min(n - o, last)
         if lo >= hi:
             continue
-        d = np.sqrt(_squares(v[lo:hi], v[lo + o : hi + o]))  # of row i and i + o, i from lo to hi
+        d = _squares(v[lo:hi], v[lo + o : hi + o])  # of row i and i + o, i from lo to hi
         a = max(lo, first)
         if hi > a:
             dist[a - first : hi - first, window + o - 1] = d[a - lo :]
@@ -95,59 +96,69 @@ def window_neighbours(v: np.ndarray, ids: np.ndarray, first: int, last: int, k:
     steps = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
     near = np.clip(np.arange(first, last)[:, None] + steps[None, :], 0, n - 1)
     take, rows = min(k, 2 * window), np.arange(m)[:, None]
-    some = min(2 * window, take + 8)
+    some = min(2 * window, take + 4)
     pick = np.argpartition(dist, some - 1, axis=1)[:, :some] if some < 2 * window else np.broadcast_to(np.arange(2 * window), dist.shape)
-    dd, oo = dist[rows, pick], ids[near[rows, pick]]
-    order = np.lexsort((oo, dd))[:, :take]
+    dd, oo = np.sqrt(dist[rows, pick]), ids[near[rows, pick]]
+    order = np.lexsort((oo, dd))
     dd, oo = dd[rows, order], oo[rows, order]
-    # more ties at the last distance than were picked: all are ranked
-    tied = np.flatnonzero((dist <= dd[:, -1:]).sum(axis=1) > some) if some < 2 * window else []
-    for r in tied:
-        if np.isfinite(dd[r, -1]):
-            full = np.lexsort((ids[near[r]], dist[r]))[:take]
-            dd[r], oo[r] = dist[r, full], ids[near[r, full]]
-    return dd, oo
+    # as near as the last, all that were picked: there may be more ties, and all are ranked
+    for r in np.flatnonzero((dd[:, take - 1] == dd[:, -1]) & np.isfinite(dd[:, -1])) if some < 2 * window else []:
+        d = np.sqrt(dist[r])
+        full = np.lexsort((ids[near[r]], d))[:take]
+        dd[r, :take], oo[r, :take] = d[full], ids[near[r, full]]
+    return dd[:, :take], oo[:, :take]
 
 
-def _pairs(dd: np.ndarray, oo: np.ndarray, keep: np.ndarray) -> list[list[tuple[float, int]]]:
-    return [list(zip(a[f].tolist(), b[f].tolist())) for a, b, f in zip(dd, oo, keep)]
+def _rows_of(column: pa.Array, n: int) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _walk(batches: Iterator[pd.DataFrame], k: int, window: int, first: bool) -> Iterator[pd.DataFrame]:
+def _as_lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _entries(d: np.ndarray, node: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(node, pa.int64())], names=["d", "node"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch], k: int, window: int, first: bool) -> Iterator[pa.RecordBatch]:
     """Lists of the rows of one partition, which come in curve order; rows are held until their followers have come. With
     `first` every list and the vector with it, else what beats `bound` and is not `known`."""
-    held: pd.DataFrame | None = None
-    v = np.zeros((0, 0))
+    held: list[np.ndarray] = []  # node, v and, but for the first curve, bound and known
     done = 0  # held rows that have their lists already
 
-    def lists(pdf: pd.DataFrame, v: np.ndarray, lo: int, hi: int) -> pd.DataFrame | None:
-        ids = pdf["node"].to_numpy()
-        dd, oo = window_neighbours(v, ids, lo, hi, k, window)
+    def lists(lo: int, hi: int) -> pa.RecordBatch | None:
+        node, v = held[:2]
+        dd, oo = window_neighbours(v, node, lo, hi, k, window)
         keep = np.isfinite(dd)
-        own = pdf.iloc[lo:hi]
         if first:
-            return pd.DataFrame({"node": ids[lo:hi], "v": own["v"].tolist(), "near": _pairs(dd, oo, keep)})
-        keep &= dd <= own["bound"].to_numpy()[:, None]
-        known = np.stack([np.frombuffer(x, "<i8") for x in own["known"]]) if len(own) else np.zeros((0, k), np.int64)
+            vectors = _as_lists(np.full(hi - lo, v.shape[1]), pa.array(v[lo:hi].ravel(), pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(node[lo:hi], pa.int64()), vectors, _as_lists(keep.sum(axis=1), _entries(dd[keep], oo[keep]))], ["node", "v", "near"])
+        bound, known = held[2][lo:hi], held[3][lo:hi]
+        keep &= dd <= bound[:, None]
         for j in range(known.shape[1]):
             keep &= oo != known[:, j : j + 1]
         some = keep.any(axis=1)
         if not some.any():
             return None
-        return pd.DataFrame({"node": ids[lo:hi][some], "near": _pairs(dd[some], oo[some], keep[some])})
+        return pa.RecordBatch.from_arrays([pa.array(node[lo:hi][some], pa.int64()), _as_lists(keep[some].sum(axis=1), _entries(dd[keep], oo[keep]))], ["node", "near"])
 
-    for pdf in batches:
-        if not len(pdf):
+    for b in batches:
+        n = b.num_rows
+        if not n:
             continue
-        new = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
-        held, v = (pdf, new) if held is None else (pd.concat([held, pdf], ignore_index=True), np.concatenate([v, new]))
-        ready = len(held) - window
+        new = [b.column("node").to_numpy(), _rows_of(b.column("v"), n)]
+        if not first:
+            new += [b.column("bound").to_numpy(zero_copy_only=False), _rows_of(b.column("known"), n)]
+        held = [np.concatenate(x) for x in zip(held, new)] if held else new
+        ready = len(held[0]) - window
         if ready > done:
-            if (out := lists(held, v, done, ready)) is not None:
+            if (out := lists(done, ready)) is not None:
                 yield out
             cut = max(0, ready - window)
-            held, v, done = held.iloc[cut:].reset_index(drop=True), v[cut:], ready - cut
-    if held is not None and len(held) > done and (out := lists(held, v, done, len(held))) is not None:
+            held, done = [x[cut:] for x in held], ready - cut
+    if held and len(held[0]) > done and (out := lists(done, len(held[0]))) is not None:
         yield out
 
 
@@ -171,29 +182,25 @@ def curve_neighbours(nodes: DataFrame, k: int, curves: int = CURVES, window: int
         turn = projection(dim, m, c) if c or m < dim else np.eye(dim)
         shift = np.random.default_rng(1000 + c).uniform(0, 0.5, m)
 
-        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                v = np.asarray(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = _rows_of(b.column("v"), b.num_rows).reshape(b.num_rows, dim)
                 unit = (v @ turn / span + 1) / 2  # in 0..1
                 cells = np.clip((unit + shift) / 1.5 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-                yield pdf.assign(key=hilbert_keys(cells, bits))
+                yield b.append_column("key", pa.array(hilbert_keys(cells, bits), pa.int64()))
 
-        extra = "" if first else ", bound double, known binary"
-        ordered = rows.mapInPandas(keyed, f"node bigint, v array<double>{extra}, key bigint").repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").drop("key")
+        extra = "" if first else ", bound double, known array<bigint>"
+        ordered = rows.mapInArrow(keyed, f"node bigint, v array<double>{extra}, key bigint").repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").drop("key")
         out = f"node bigint, v array<double>, near {_NEAR}" if first else f"node bigint, near {_NEAR}"
-        return ordered.mapInPandas(lambda batches: _walk(batches, most, window, first), out)
+        return ordered.mapInArrow(lambda batches: _walk(batches, most, window, first), out)
 
     start = checkpointed(along(nodes, 0, True))
-
-    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bound = [x[-1]["d"] if len(x) == most else np.inf for x in pdf["near"]]
-            known = [np.array([*(e["node"] for e in x), *[-1 << 63] * (most - len(x))], "<i8").tobytes() for x in pdf["near"]]
-            yield pdf[["node", "v"]].assign(bound=bound, known=known)
-
     found = start.select("node", "near")
     if curves > 1:
-        rest = start.mapInPandas(marked, "node bigint, v array<double>, bound double, known binary")
+        full = F.size("near") == most
+        none = F.array_repeat(F.lit(-1 << 63).cast("bigint"), most)
+        bound = F.when(full, F.element_at("near.d", -1)).otherwise(F.lit(float("inf")))
+        rest = start.select("node", "v", bound.alias("bound"), F.slice(F.concat("near.node", none), 1, most).alias("known"))
         for c in range(1, curves):
             found = found.unionByName(along(rest, c, False))
     near = _best(found, most)
