@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 4096
+#: Similarities that a task holds at a time.
+PRODUCTS = 4_000_000
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, node_id: str, value: str) -> DataFrame:
-    """Edges (s, t, ...) with the value of both ends as vs and vt; edges with an unknown end fall away."""
-    a = nodes.select(F.col(node_id).alias("s"), F.col(value).alias("vs"))
-    b = nodes.select(F.col(node_id).alias("t"), F.col(value).alias("vt"))
-    return edges.join(a, "s").join(b, "t")
+    """Edges (s, t, ...) with the value of both ends as vs and vt; edges with an unknown end fall away.
+
+    Hubs, ends of more edges than an average shuffle partition has, are no more than twice the partitions: their values
+    meet the edges by broadcast, those of the other nodes by shuffle.
+    """
+    parts = max(256, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = edges.select(F.explode(F.array("s", "t")).alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    top = ends.orderBy(F.desc("n")).limit(2 * parts)  # hubs are among these; each task sends on its own
+    total = ends.agg(F.sum("n").alias("all"))
+    hubs = [r[0] for r in top.crossJoin(F.broadcast(total)).filter(F.col("n") > F.greatest(F.lit(1_000), F.col("all") / 2 / parts)).select("k").collect()]  # one row
+    value_of = nodes.select(F.col(node_id).alias("k"), F.col(value).alias("v"))
+    for end, v in (("s", "vs"), ("t", "vt")):
+        named = value_of.select(F.col("k").alias(end), F.col("v").alias(v))
+        if not hubs:
+            edges = edges.join(named, end)
+            continue
+        hot = F.col(end).isin(hubs)
+        edges = edges.filter(hot).join(F.broadcast(named.filter(hot)), end).unionByName(edges.filter(~hot).join(named, end))
+    return edges
 
 
 def homophily(ends: DataFrame) -> DataFrame:
@@ -66,15 +83,23 @@ def nearest_cosine(vectors: DataFrame, id_col: str, vec_col: str, queries: DataF
             for pdf in batches:
                 if not len(pdf):
                     continue
-                tid, tv = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), float)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = qv @ tv.T / (qn[:, None] * np.sqrt((tv * tv).sum(1))[None, :])
-                sim[(qid[:, None] == tid[None, :]) | ~np.isfinite(sim)] = -np.inf
-                take = min(k, len(tid))
-                order = np.lexsort((np.broadcast_to(tid, sim.shape), -sim))[:, :take]
-                r = np.arange(len(qid))[:, None]
-                out = pd.DataFrame({"s": np.repeat(qid, take), "t": tid[order].ravel(), "sim": sim[r, order].ravel()})
-                yield out[np.isfinite(out["sim"])]
+                all_ids, all_v = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), float)
+                step = max(1, PRODUCTS // len(qid))
+                for at in range(0, len(all_ids), step):
+                    tid, tv = all_ids[at : at + step], all_v[at : at + step]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        sim = qv @ tv.T / (qn[:, None] * np.sqrt((tv * tv).sum(1))[None, :])
+                    sim[(qid[:, None] == tid[None, :]) | ~np.isfinite(sim)] = -np.inf
+                    take = min(k, len(tid))
+                    # all that are as near as the k-th, so that ties go by id
+                    least = np.partition(sim, len(tid) - take, axis=1)[:, len(tid) - take, None]
+                    r, c = np.nonzero((sim >= least) & np.isfinite(sim))
+                    s = sim[r, c]
+                    order = np.lexsort((tid[c], -s, r))
+                    r, c, s = r[order], c[order], s[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+                    keep = place < take
+                    yield pd.DataFrame({"s": qid[r[keep]], "t": tid[c[keep]], "sim": s[keep]})
 
         got = base.mapInPandas(search, "s bigint, t bigint, sim double")
         found = got if found is None else found.unionByName(got)

@@ -1,10 +1,11 @@
 """References to records that do not exist: missing, already deleted, or loaded only afterwards.
 
 A reference is live if some row of its key was loaded not after the reference's time and deleted after it or never.
-The split by skew: references are counted per key and period; keys above a share of all references are heavy. There
-can be no more heavy keys than 1 / share, so a broadcast of them is bounded whatever the data; their live spans are
-broadcast after a check of their number and meet the references without a shuffle. The other keys, none of which can
-fill a partition, go through a shuffled anti-join. Both give rows, and the union counts them per table and period.
+The split by skew: references are counted per key and period, once; keys that would fill a shuffle partition alone are
+heavy. There can be no more heavy keys than partitions, so a broadcast of them is bounded whatever the data; their live
+spans are broadcast after a check of their number and meet the references without a shuffle, or, beyond that number,
+meet them salted by month. The other keys go through a shuffled anti-join. Both give rows, and the union counts them per
+table and period. References and spans are written once to the checkpoint folder, from which all steps read.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: A key is heavy from this share of all references; so at most 1 / HEAVY_SHARE keys are.
+from foliospark.sources.tables import checkpointed
+
+#: A key is heavy from this share of all references, or from that of an average shuffle partition if that is less.
 HEAVY_SHARE = 1 / 256
 #: Heavy live spans above this number go through a salted shuffle instead of a broadcast.
 MAX_BROADCAST_SPANS = 200_000
@@ -70,16 +73,17 @@ def orphan_references(refs: DataFrame, spans: DataFrame, share: float = HEAVY_SH
     refs as of references(), spans as of live_spans(). A reference without time is an orphan, for nothing is known to
     be live then; a null link_id stays null. Ties, repeated rows and empty tables need no care: the result is a set.
     """
-    counts = refs.groupBy("tbl", "key", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
-    per_key = counts.groupBy("key").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    least = max(1, int(total * share))
-    heavy = [r[0] for r in per_key.filter(F.col("n") > least).select("key").collect()]  # at most 1 / share of them
+    spark = refs.sparkSession
+    refs, spans = checkpointed(refs), checkpointed(spans)
+    counts = refs.groupBy("key", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
+    total = refs.count()
+    least = max(1, int(total * min(share, 1 / int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    heavy = [r[0] for r in counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("key").collect()]  # as many as partitions
     if not heavy:
         return _dead(refs, spans).distinct()
     hot = F.col("key").isin(heavy) if len(heavy) < 16 else None
     if hot is None:
-        keys = F.broadcast(refs.sparkSession.createDataFrame([(k,) for k in heavy], refs.select("key").schema))
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in heavy], refs.select("key").schema))
         big, rest = refs.join(keys, "key", "left_semi").select(refs.columns), refs.join(keys, "key", "left_anti").select(refs.columns)
         big_spans = spans.join(keys, "key", "left_semi")
     else:

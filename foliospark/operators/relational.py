@@ -32,9 +32,10 @@ def enrich_where(left: DataFrame, right: DataFrame, on: str, condition: Column)
     return left.join(r, (left[on] == r["__on"]) & condition, "left").drop("__on")
 
 
-def ordinal_ranks(df: DataFrame, group: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """df with `rank`: 1, 2, 3 ... within each group by order, ties as they come in `order`."""
-    return running(df, group, order, {"rank": F.lit(1)}, partitions)
+def ordinal_ranks(df: DataFrame, group: str, order: list[str], partitions: int | None = None, weight: Column | None = None) -> DataFrame:
+    """df with `rank`: 1, 2, 3 ... within each group by order, ties as they come in `order`; a row of some weight stands
+    for as many rows and has the rank of the last."""
+    return running(df, group, order, {"rank": F.lit(1) if weight is None else weight}, partitions)
 
 
 def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:

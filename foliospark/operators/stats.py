@@ -8,6 +8,7 @@ from pyspark.sql.column import Column
 
 from foliospark.functions.exprs import is_number, unit_bin
 from foliospark.operators.relational import ordinal_ranks
+from foliospark.sources.tables import checkpointed
 
 
 def unpivot(df: DataFrame, ids: list[str], columns: dict[str, Column], name: str = "feature", value: str = "v") -> DataFrame:
@@ -18,9 +19,20 @@ def unpivot(df: DataFrame, ids: list[str], columns: dict[str, Column], name: str
 
 
 def summary(long: DataFrame, by: str = "feature", value: str = "v") -> DataFrame:
-    """n, mean, sample deviation, least, greatest and exact median per group."""
+    """n, mean, sample deviation, least, greatest and exact median per group.
+
+    The median is the mean of the middle ranks, which range-partitioned running counts give: no task gets all values.
+    """
     v = F.col(value)
-    return long.groupBy(by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("med"))
+    rows = checkpointed(long.select(by, v.alias("__v")))
+    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    ranks = ordinal_ranks(rows.groupBy(by, "__v").agg(F.count("*").alias("__k")), by, ["__v"], weight=F.col("__k"))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    lo, hi = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    within = lambda r: ((F.col("rank") >= r) & (F.col("rank") - F.col("__k") < r)).cast("int")
+    middle = ranks.join(F.broadcast(sizes), by).select(by, "__v", (within(lo) + within(hi)).alias("__w")).filter("__w > 0")  # a row per group
+    med = middle.groupBy(by).agg((F.sum(F.col("__v") * F.col("__w")) / 2).alias("med"))
+    return stats.join(med, by)
 
 
 def class_means(long: DataFrame, flag: str) -> DataFrame:

@@ -17,7 +17,7 @@ from foliospark.operators import lda as L
 from foliospark.operators import relational as R
 from foliospark.operators import stats as S
 from foliospark.sources import generators
-from foliospark.sources.tables import load
+from foliospark.sources.tables import checkpointed, load
 
 PIXELS = ["edge", "ink", "colf", "sat", "ent", "white", "ar"]
 METRICS = ["clip", "cplx", "gib", "rep"]
@@ -288,7 +288,7 @@ def pixel_loo(spark, d):
     """Leave-one-out hits of each pixel statistic alone."""
     f = figures(spark, d, "p")
     flat = f.select("is_real", *(F.col(f"p.{k}").alias(k) for k in PIXELS))
-    return reduce(DataFrame.unionByName, [L.leave_one_out(flat.filter(X.is_number(F.col(k))), [k], "is_real", k) for k in PIXELS])
+    return L.leave_one_out_sets(flat, {k: [k] for k in PIXELS}, "is_real")
 
 
 @query()
@@ -296,10 +296,10 @@ def ablation(spark, d):
     """Accuracy of growing feature sets, from the majority class to coordinates with pixel statistics."""
     f = points(spark, d, "p")
     flat = f.select("is_real", "x", "y", "z", *(F.col(f"p.{k}").alias(k) for k in PIXELS)).dropna()
-    base = flat.agg(F.count("*").alias("n"), F.sum("is_real").alias("r")).select(F.lit("majority").alias("name"), F.greatest("r", F.col("n") - F.col("r")).alias("hits"), "n")
-    sets = {"pixels": PIXELS, "x": ["x"], "x+y": ["x", "y"], "x+y+z": ["x", "y", "z"], "x+y+pixels": ["x", "y", *PIXELS]}
-    rows = [L.leave_one_out(flat, axes, "is_real", name) for name, axes in sets.items()]
-    out = reduce(DataFrame.unionByName, rows, base)
+    flat = checkpointed(flat)
+    base = flat.agg(F.count("*").alias("n"), F.sum("is_real").alias("r")).select(F.lit("majority").alias("name"), F.coalesce(F.greatest("r", F.col("n") - F.col("r")), F.lit(0)).alias("hits"), "n")
+    sets = {"pixels": PIXELS, "x": ["x"], "x+y": ["x", "y"], "x+y+pixels": ["x", "y", *PIXELS]}
+    out = base.unionByName(L.leave_one_out_sets(flat, sets, "is_real", unit=PIXELS))
     return out.select("name", "hits", "n", F.round(F.try_divide(F.col("hits"), F.col("n")), 4).alias("acc"))
 
 
@@ -554,8 +554,15 @@ def _tokens(spark, d):
 def gibberish_ratio(spark, d):
     """Share of an abstract's words that fewer than five papers have."""
     t = _tokens(spark, d).groupBy("f", "w").agg(F.count("*").alias("k"))
-    v = t.groupBy("w").agg(F.count("*").alias("papers")).filter("papers >= 5")
-    both = t.join(v, "w", "left").groupBy("f").agg(F.sum("k").alias("tokens"), F.sum(F.when(F.col("papers").isNull(), F.col("k")).otherwise(0)).alias("unknown"))
+    t = checkpointed(t)
+    papers_of = checkpointed(t.groupBy("w").agg(F.count("*").alias("papers")))
+    # words that fill a partition are known without a join: they are few, and in more than five papers
+    least = max(5, (papers_of.agg(F.sum("papers")).head()[0] or 0) // 256)
+    common = [r[0] for r in papers_of.filter(F.col("papers") > least).select("w").collect()]  # at most 256
+    known, rest = t.filter(F.col("w").isin(common)).withColumn("papers", F.lit(5).cast("bigint")), t.filter(~F.col("w").isin(common))
+    v = papers_of.filter("papers >= 5")
+    both = rest.join(v, "w", "left").unionByName(known)
+    both = both.groupBy("f").agg(F.sum("k").alias("tokens"), F.sum(F.when(F.col("papers").isNull(), F.col("k")).otherwise(0)).alias("unknown"))
     return both.withColumn("ratio", F.round(F.col("unknown") / F.col("tokens"), 6))
 
 

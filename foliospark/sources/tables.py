@@ -15,10 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the folder of spark.checkpoint.dir; only where it is unset (tests) a folder of this machine."""
+    """Takes the folder of spark.checkpoint.dir. Where it is unset a local session (tests) gets a folder of this machine;
+    on a cluster, whose executors could not share that, it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folio-ckpt-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folio-ckpt-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
