@@ -54,9 +54,16 @@ def tick_step(lo: Column, hi: Column, n: int) -> Column:
 
 
 def ticks(lo: Column, hi: Column, n: int) -> Column:
-    """The multiples of the step from lo to hi."""
+    """The multiples of the step from lo to hi; both ends for an empty span."""
     step = tick_step(lo, hi, n)
-    return F.transform(F.sequence(F.ceil(lo / step), F.floor(hi / step + 1e-6)), lambda k: k * step)
+    some = F.transform(F.sequence(F.ceil(lo / step), F.floor(hi / step + 1e-6)), lambda k: k * step)
+    return F.when(hi > lo, some).otherwise(F.array(lo, hi))
+
+
+def scaled(v: Column, domain: tuple, extent: tuple) -> Column:
+    """v carried linearly from the domain to the extent; null for an empty domain. With both swapped it is the inverse."""
+    (d0, d1), (r0, r1) = ([c if isinstance(c, Column) else F.lit(float(c)) for c in x] for x in (domain, extent))
+    return r0 + F.try_divide(v - d0, d1 - d0) * (r1 - r0)
 
 
 def pushed_out(axes: list[Column], by: float) -> list[Column]:

@@ -49,6 +49,7 @@ def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+# Fixed values, here and in paper_flags: the patterns of clock times and titles, and the words of the flags.
 def time_key(name: Column) -> Column:
     """The clock-like part of a map's file name, else the name without `map`, else 'Unknown time'."""
     rest = F.regexp_replace(stem(name), r"(?i)^map[_\-\s]*", "")

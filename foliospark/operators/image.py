@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -10,12 +11,62 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+try:  # optional
+    from PIL import Image
+except ImportError:
+    Image = None
+
 FEATURES = ["edge", "ink", "colf", "sat", "ent", "white", "ar"]
 SIDE = 256
 
 
+# First column and row, and steps, of the seven passes of interlaced images.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _unfiltered(raw: bytes, at: int, h: int, size: int, n: int) -> tuple[np.ndarray, int]:
+    """(h x size bytes, where they end) of filtered lines; n: bytes of a pixel."""
+    lines = np.frombuffer(raw, np.uint8, h * (size + 1), at).reshape(h, size + 1)
+    out, above = np.zeros((h, size), np.uint8), np.zeros(size, np.int64)
+    wide = -(-size // n) * n
+    for y in range(h):
+        kind, line = lines[y, 0], lines[y, 1:].astype(np.int64)
+        if kind == 2:
+            line = line + above & 255
+        elif kind == 1:
+            padded = np.zeros(wide, np.int64)
+            padded[:size] = line
+            line = (np.cumsum(padded.reshape(-1, n), axis=0).reshape(-1) & 255)[:size]
+        elif kind in (3, 4):
+            got, up = line.tolist(), above.tolist()
+            for i in range(size):
+                left, corner = (got[i - n], up[i - n]) if i >= n else (0, 0)
+                if kind == 3:
+                    guess = left + up[i] >> 1
+                else:
+                    a, b, c = abs(up[i] - corner), abs(left - corner), abs(left + up[i] - 2 * corner)
+                    guess = left if a <= b and a <= c else up[i] if b <= c else corner
+                got[i] = got[i] + guess & 255
+            line = np.array(got)
+        elif kind:
+            raise ValueError("unknown filter")
+        out[y], above = line, line
+    return out, at + h * (size + 1)
+
+
+def _samples(lines: np.ndarray, w: int, n: int, depth: int) -> np.ndarray:
+    """h x w x n samples of 8 bits, or of fewer as they are."""
+    if depth == 16:
+        lines = lines[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(lines, axis=1)
+        bits = bits[:, : bits.shape[1] // depth * depth].reshape(len(lines), -1, depth)
+        lines = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)
+    return lines[:, : w * n].reshape(len(lines), w, n)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """H x W x 3 bytes of a PNG of 8 bits a channel, not interlaced: grey, palette or colour, alpha dropped."""
+    """H x W x 3 bytes of a PNG of any depth, interlaced or not: grey, palette or colour, alpha dropped."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, packed, palette, head = 8, b"", None, None
@@ -31,34 +82,43 @@ def decode_png(data: bytes) -> np.ndarray:
             packed += body
         elif kind == b"IEND":
             break
+    if head is None:
+        raise ValueError("no header")
     w, h, depth, colour, _, _, interlaced = head
-    if depth != 8 or interlaced:
-        raise ValueError("PNG of another depth, or interlaced")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * n)
-    out, above = np.zeros((h, w * n), np.uint8), np.zeros(w * n, np.int64)
-    for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 2:
-            line = line + above & 255
-        elif kind == 1:
-            line = np.cumsum(line.reshape(w, n), axis=0).reshape(-1) & 255
-        elif kind in (3, 4):
-            for i in range(w * n):
-                left, up, corner = (line[i - n] if i >= n else 0), above[i], (above[i - n] if i >= n else 0)
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                line[i] = line[i] + guess & 255
-        out[y], above = line, line
-    px = out.reshape(h, w, n)
+    raw, size = zlib.decompress(packed), max(1, n * depth // 8)
+    px = np.zeros((h, w, n), np.uint8)
+    at = 0
+    for x0, y0, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if pw > 0 and ph > 0:
+            lines, at = _unfiltered(raw, at, ph, -(-pw * n * depth // 8), size)
+            px[y0::dy, x0::dx] = _samples(lines, pw, n, depth)
     if colour == 3:
         return palette[px[..., 0]]
+    if depth < 8:
+        px = (px.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
     return np.repeat(px[..., :1], 3, axis=2) if n < 3 else px[..., :3]
 
 
+def encode_png(px: np.ndarray) -> bytes:
+    """A PNG of H x W x 3 bytes."""
+    h, w = px.shape[:2]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), px.reshape(h, w * 3)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def decode(data: bytes) -> np.ndarray:
+    """H x W x 3 bytes of an image: by the imaging library if it is installed, which reads any format, else of a PNG."""
+    if Image is None:
+        return decode_png(data)
+    try:
+        return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
+    except OSError as e:
+        raise ValueError(str(e)) from e
+
+
 def _lanczos(n: int, m: int) -> np.ndarray:
     """m x n weights that shrink n samples to m, three lobes."""
     scale = n / m
@@ -104,7 +164,7 @@ def image_features(files: DataFrame) -> DataFrame:
             rows = []
             for name, data in zip(pdf["name"], pdf["content"]):
                 try:
-                    rows.append((name, *pixel_features(decode_png(bytes(data)))))
+                    rows.append((name, *pixel_features(decode(bytes(data)))))
                 except (ValueError, TypeError, KeyError, IndexError, struct.error, zlib.error):
                     rows.append((name, *[None] * 7))
             yield pd.DataFrame(rows, columns=["name", *FEATURES])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from foliospark.functions.text import leading_number
 from foliospark.sources.tables import checkpointed
 
 
@@ -58,6 +59,13 @@ def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column]
     return out.select(*(inner[c] for c in df.columns), *((F.col(f"__r_{k}") + F.col(f"__b_{k}")).alias(k) for k in sums))
 
 
+def mixed_order(df: DataFrame, key: str) -> DataFrame:
+    """df with `place`: keys that begin with a number first, by it, then the others; equal ones by the text."""
+    number = leading_number(F.col(key))
+    ranked = ordinal_ranks(df.select("*", F.lit(0).alias("__all"), number.isNull().alias("__text"), number.alias("__number")), "__all", ["__text", "__number", key])
+    return ranked.withColumnRenamed("rank", "place").drop("__all", "__text", "__number")
+
+
 def sampled_pairs(df: DataFrame, id_col: str, side: Column, n: int, by: Column) -> DataFrame:
     """(round, id_a, id_b): the i-th of n sampled rows where side holds, with the i-th where it doesn't; by: the draw."""
     both = None

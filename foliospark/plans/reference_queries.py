@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 from foliospark.functions import text as T
 from foliospark.operators import graph as G
+from foliospark.operators import image as I
 from foliospark.operators import lda as L
 from foliospark.operators import relational as R
 from foliospark.operators import stats as S
@@ -291,7 +294,38 @@ def pixel_loo(spark, d):
     return L.leave_one_out_sets(flat, {k: [k] for k in PIXELS}, "is_real")
 
 
-@query()
+def _loo_sql(name: str, axes: list[str]) -> str:
+    """Hits of every row by the fit without it: moments less the row, solved by elimination, one pivot a step."""
+    d = len(axes)
+    n = d + 1
+    row = "[" + ", ".join(axes) + "]"
+    sums = lambda cond: "[" + ", ".join(f"sum({a}){cond}" for a in axes) + "]"
+    cross = "[" + ", ".join(f"sum({a} * {b})" for a in axes for b in axes) + "]"
+    cell = f"(products[least(i * {d} + j, {d * d - 1}) + 1] - x[i + 1] * x[j + 1] - (t0[i + 1] + t1[i + 1] - x[i + 1]) * (t0[j + 1] + t1[j + 1] - x[j + 1]) / (n - 1)) / (n - 2) + CASE WHEN i = j THEN 1e-6 ELSE 0 END"
+    mean = lambda c: f"((t{c}[i + 1] - CASE WHEN yy = {c} THEN x[i + 1] ELSE 0 END) / (n{c} - CASE WHEN yy = {c} THEN 1 ELSE 0 END))"
+    start = f"list_transform(range(0, {d * n}), lambda e: list_transform([e // {n}], lambda i: list_transform([e % {n}], lambda j: CASE WHEN j = {d} THEN {mean(1)} - {mean(0)} ELSE {cell} END)[1])[1])"
+    step = f"list_transform(range(0, {d * n}), lambda e: CASE WHEN e // {n} = k THEN a[e + 1] / a[k * {n} + k + 1] ELSE a[e + 1] - a[(e // {n}) * {n} + k + 1] * a[k * {n} + e % {n} + 1] / a[k * {n} + k + 1] END)"
+    middle = f"list_transform(range(0, {d}), lambda i: x[i + 1] - ({mean(0)} + {mean(1)}) / 2)"
+    return (
+        f"SELECT '{name}' AS name, count(*) FILTER (WHERE (list_sum(list_transform(range(0, {d}), lambda i: a[i * {n} + {d} + 1] * mid[i + 1])) > 0) = (yy = 1)) AS hits, count(*) AS n FROM ("
+        f"WITH RECURSIVE tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE yy = 0) AS n0, count(*) FILTER (WHERE yy = 1) AS n1, {sums(' FILTER (WHERE yy = 0)')} AS t0, {sums(' FILTER (WHERE yy = 1)')} AS t1, {cross} AS products FROM flat),"
+        f" one AS (SELECT id, yy, {row} AS x FROM flat), solve(id, yy, mid, k, a) AS (SELECT id, yy, {middle}, 0, {start} FROM one, tot UNION ALL SELECT id, yy, mid, k + 1, {step} FROM solve WHERE k < {d})"
+        f" SELECT * FROM solve WHERE k = {d})"
+    )
+
+
+_FLAT = (
+    _PTS
+    + ", raw AS (SELECT id, is_real AS yy, x, y, " + ", ".join(f"p.{k} AS {k}" for k in PIXELS) + " FROM pts WHERE " + " AND ".join(f"p.{k} IS NOT NULL AND NOT isnan(p.{k})" for k in PIXELS) + ")"
+    + ", flat AS (SELECT id, yy, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, " + ", ".join(f"({k} - avg({k}) OVER ()) / stddev_pop({k}) OVER () AS {k}" for k in PIXELS) + " FROM raw)"
+)
+
+
+@query(
+    f"WITH {_FLAT}, r AS (SELECT 'majority' AS name, greatest(sum(yy), count(*) - sum(yy)) AS hits, count(*) AS n FROM flat UNION ALL "
+    + " UNION ALL ".join(f"SELECT * FROM ({_loo_sql(k, v)})" for k, v in {"pixels": PIXELS, "x": ["x"], "x+y": ["x", "y"], "x+y+pixels": ["x", "y", *PIXELS]}.items())
+    + ") SELECT name, CAST(hits AS BIGINT) AS hits, n, round(hits / n, 4) AS acc FROM r"
+)
 def ablation(spark, d):
     """Accuracy of growing feature sets, from the majority class to coordinates with pixel statistics."""
     f = points(spark, d, "p")
@@ -607,3 +641,147 @@ def kpi_scalars(spark, d):
 def compact_numbers(spark, d):
     """Order totals as short texts."""
     return load(spark, d, "orders").select("o_orderkey", X.compact(F.col("o_totalprice")).alias("short"))
+
+
+# --- pieces of a page -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 5) AS mirrored FROM embeddings")
+def vector_products(spark, d):
+    """Length of every embedding, and its product with itself read backwards."""
+    e = F.col("embedding")
+    return load(spark, d, "embeddings").select("vec_id", F.round(X.l2(e), 5).alias("norm"), F.round(X.dot(e, F.reverse(e)), 5).alias("mirrored"))
+
+
+@query(f"WITH {_PTS}, e AS (SELECT min(x) AS lo, max(x) AS hi FROM pts), p AS (SELECT id, lo, hi, 40 + (x - lo) / (hi - lo) * (600 - 40) AS px FROM pts, e) SELECT id, round(px, 6) AS px, round(lo + (px - 40) / (600 - 40) * (hi - lo), 6) AS back FROM p")
+def scale_round_trip(spark, d):
+    """Every figure's x as a place on an axis of 40 to 600 pixels, and what is read back from there."""
+    p = points(spark, d)
+    e = p.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = p.crossJoin(F.broadcast(e)).withColumn("px", X.scaled(F.col("x"), (F.col("lo"), F.col("hi")), (40, 600)))  # one row
+    return at.select("id", F.round("px", 6).alias("px"), F.round(X.scaled(F.col("px"), (40, 600), (F.col("lo"), F.col("hi"))), 6).alias("back"))
+
+
+@query(r"""WITH k AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 3) ELSE (o_orderkey % 977) || o_orderpriority END AS key FROM orders), n AS (SELECT *, TRY_CAST(nullif(regexp_extract(key, '^\s*([+-]?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) AS num FROM k)
+ SELECT key, count(*) AS n, min(p) AS first_place FROM (SELECT *, row_number() OVER (ORDER BY num IS NULL, num, key) AS p FROM n) GROUP BY key""")
+def mixed_key_order(spark, d):
+    """Keys in mixed order, those that begin with a number by it and then the others: where each first comes."""
+    k = load(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.substring("o_orderpriority", 3, 99)).otherwise(F.concat((F.col("o_orderkey") % 977).cast("string"), "o_orderpriority")).alias("key"))
+    return R.mixed_order(k, "key").groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+
+
+@query("""WITH a AS (SELECT user_id, CAST(props->>'k' AS BIGINT) AS question, ts, event_id, event_type IN ('view', 'click') AS hit FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, question ORDER BY ts, event_id) AS k FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM f WHERE k = 1)
+ SELECT user_id, count(*) AS rounds, count(*) FILTER (WHERE hit) AS hits, CAST(floor(100.0 * count(*) FILTER (WHERE hit) / count(*) + 0.5) AS BIGINT) AS pct FROM r WHERE round <= 8 GROUP BY user_id""")
+def quiz_result(spark, d):
+    """Each user's first eight questions: hits and per cent; only the first answer to a question counts."""
+    hit = F.col("event_type").isin("view", "click")
+    log = load(spark, d, "events").select("user_id", F.from_json("props", "k bigint")["k"].alias("question"), F.struct("ts", "event_id").alias("at"), hit.alias("hit"))
+    first = log.groupBy("user_id", "question").agg(F.min_by(F.struct("at", "hit"), "at").alias("x")).select("user_id", "x.at", "x.hit")
+    rounds = R.ordinal_ranks(first, "user_id", ["at"]).filter("rank <= 8")
+    out = rounds.groupBy("user_id").agg(F.count("*").alias("rounds"), F.count_if("hit").alias("hits"))
+    return out.withColumn("pct", F.floor(100.0 * F.col("hits") / F.col("rounds") + 0.5).cast("bigint"))
+
+
+def _literals() -> list[tuple[str, str, str, float]]:
+    g = generators
+    rows = [("clusters", str(i), name, float(n)) for i, name, n in g.CLUSTERS] + [("structure", "", name, float(n)) for name, n in g.STRUCTURE]
+    rows += [("names", kind, name, float(n)) for kind, some in g.NAMES.items() for name, n in some] + [("similarity", "", name, v) for name, v in g.SIMILARITIES]
+    return rows + [("totals", "", "authors", float(g.AUTHORS)), ("totals", "", "affiliations", float(g.AFFILIATED))]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{k}', '{n}', CAST({v!r} AS DOUBLE))" for r, k, n, v in _literals()) + ") AS t(relation, kind, name, n)")
+def literal_relations(spark, d):
+    """The other tables written in the code."""
+    return generators.literal(spark, _literals(), "relation string, kind string, name string, n double")
+
+
+_IMG = """WITH e AS (SELECT vec_id, list_transform(range(0, 64), lambda i: greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) * 4 + 1) * 127.5))) / 255.0) AS q FROM embeddings),
+ px AS (SELECT vec_id, i // 8 AS yy, i % 8 AS xx, q[i + 1] AS r, q[64 - i] AS g, q[(i * 7) % 64 + 1] AS b FROM e, range(0, 64) t(i)),
+ g AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS grey, r - g AS rg, (r + g) / 2 - b AS yb, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS s FROM px),
+ base AS (SELECT vec_id, avg(CAST(grey < 0.85 AS DOUBLE)) AS ink, avg(CAST(grey > 0.95 AS DOUBLE)) AS white, sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) * avg(rg) + avg(yb) * avg(yb)) AS colf, avg(s) AS sat FROM g GROUP BY 1),
+ ed AS (SELECT a.vec_id, avg(sqrt((b.grey - a.grey) * (b.grey - a.grey) + (c.grey - a.grey) * (c.grey - a.grey))) AS edge FROM g a JOIN g b ON b.vec_id = a.vec_id AND b.yy = a.yy AND b.xx = a.xx + 1 JOIN g c ON c.vec_id = a.vec_id AND c.xx = a.xx AND c.yy = a.yy + 1 GROUP BY 1),
+ h AS (SELECT vec_id, least(63, CAST(floor(grey * 64) AS INTEGER)) AS bin, count(*) / 64.0 AS sh FROM g GROUP BY 1, 2), en AS (SELECT vec_id, -sum(sh * log2(sh)) AS ent FROM h GROUP BY 1)
+ SELECT vec_id, round(edge, 3) AS edge, round(ink, 3) AS ink, round(colf, 3) AS colf, round(sat, 3) AS sat, round(ent, 3) AS ent, round(white, 3) AS white, 1.0::DOUBLE AS ar FROM base JOIN ed USING (vec_id) JOIN en USING (vec_id)"""
+
+
+@query(_IMG)
+def image_statistics(spark, d):
+    """The seven appearance statistics of images: every embedding is drawn as a small one, encoded and decoded again."""
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((x.cast("double") * 4 + 1) * 127.5).cast("double"))).cast("int"))
+
+    def draw(batches):
+        for pdf in batches:
+            content = []
+            for q in pdf["q"]:
+                q, i = np.asarray(q, np.uint8), np.arange(64)
+                content.append(I.encode_png(np.stack([q, q[63 - i], q[i * 7 % 64]], axis=1).reshape(8, 8, 3)))
+            yield pd.DataFrame({"name": pdf["name"], "content": content})
+
+    files = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), level.alias("q")).mapInPandas(draw, "name string, content binary")
+    return I.image_features(files).select(F.col("name").cast("bigint").alias("vec_id"), *(F.round(c, 3).alias(c) for c in I.FEATURES))
+
+
+def _more_scalars(spark, d) -> dict:
+    """Named numbers of a page, each a one-row table with the column v."""
+    one = lambda df, c: df.select(c.alias("v"))
+    f, p = checkpointed(figures(spark, d)), points(spark, d)
+    gen, rate = F.col("is_generated"), lambda c: X.percent(X.half_up(c * 100, 1))
+    lit = lambda v: spark.range(1).select(F.lit(v).alias("v"))
+    mean = lambda c, fn, places: F.format_string(f"%.{places}f", fn(F.when(gen, F.col(c))))
+    ends, sets = checkpointed(link_homophily(spark, d)), checkpointed(ablation(spark, d))  # a few rows each
+    tally = {name: 100.0 * n / generators.AUTHORS for name, n, _ in generators.AFFILIATIONS[:2]}
+    return {
+        "total-figs": f.agg(F.count("*").cast("string").alias("v")),
+        "authors": lit(str(generators.AUTHORS)), "affiliations": lit(str(generators.AFFILIATED)),
+        **{k: one(ends, X.percent(F.round(c, 1))) for k, c in (("knn-same", "same_pct"), ("knn-gen", "gen_pct"), ("knn-real", "real_pct"))},
+        "knn-edges": one(ends, F.col("edges").cast("string")),
+        "lda-acc": one(lda_loo_2d(spark, d), rate(F.col("hits") / F.col("n"))), "lda-pc1": one(lda_loo_1d(spark, d), rate(F.col("hits") / F.col("n"))),
+        "lda-base": p.agg(rate(F.greatest(F.avg("is_real"), 1 - F.avg("is_real"))).alias("v")), "lda-miss": one(lda_misses(spark, d), F.col("misses").cast("string")),
+        **{f"sim-{k}": lit(f"{v:.3f}") for k, v in generators.SIMILARITIES},
+        "gib-max": f.agg(mean("gib", F.max, 3).alias("v")), "clip-mean": f.agg(mean("clip", F.avg, 3).alias("v")), "clip-min": f.agg(mean("clip", F.min, 3).alias("v")), "cplx-mean": f.agg(mean("cplx", F.avg, 1).alias("v")),
+        "hall-pct": lit(f"{list(tally.values())[0]:.1f}%"), "mut-pct": lit(f"{list(tally.values())[1]:.1f}%"),
+        "notitle": one(missing_counts(spark, d), F.col("untitled").cast("string")),
+        **{k: one(sets.filter(F.col("name") == n), F.concat(F.format_string("%.1f", F.col("acc") * 100), F.lit("%"))) for k, n in (("pixel-acc", "pixels"), ("both-acc", "x+y+pixels"))},
+        "pixel-best-auc": feature_auc(spark, d).agg(F.format_string("%.3f", F.max("auc_free")).alias("v")),
+    }
+
+
+def _scalar_sql() -> str:
+    half = lambda e: f"printf('%.1f%%', floor(({e}) * 1000 + 0.5) / 10)"
+    gen = lambda fn, c, places: f"printf('%.{places}f', {fn}({c}) FILTER (WHERE c = 1))"
+    fig = lambda e: f"(WITH {_FIG} SELECT {e} AS v FROM fig)"
+    of = lambda q, e, where="": f"(SELECT {e} AS v FROM ({SQL[q]}) {where})"
+    tally = [f"{100.0 * n / generators.AUTHORS:.1f}%" for _, n, _ in generators.AFFILIATIONS[:2]]
+    rows = {
+        "total-figs": fig("CAST(count(*) AS VARCHAR)"), "authors": f"(SELECT '{generators.AUTHORS}' AS v)", "affiliations": f"(SELECT '{generators.AFFILIATED}' AS v)",
+        **{k: of("link_homophily", f"printf('%.1f%%', round({c}, 1))") for k, c in (("knn-same", "same_pct"), ("knn-gen", "gen_pct"), ("knn-real", "real_pct"))},
+        "knn-edges": of("link_homophily", "CAST(edges AS VARCHAR)"), "lda-acc": of("lda_loo_2d", half("hits / n")), "lda-pc1": of("lda_loo_1d", half("hits / n")),
+        "lda-base": f"(WITH {_PTS} SELECT {half('greatest(avg(is_real), 1 - avg(is_real))')} AS v FROM pts)", "lda-miss": of("lda_misses", "CAST(misses AS VARCHAR)"),
+        **{f"sim-{k}": f"(SELECT '{v:.3f}' AS v)" for k, v in generators.SIMILARITIES},
+        "gib-max": fig(gen("max", "gib", 3)), "clip-mean": fig(gen("avg", "clip", 3)), "clip-min": fig(gen("min", "clip", 3)), "cplx-mean": fig(gen("avg", "cplx", 1)),
+        "hall-pct": f"(SELECT '{tally[0]}' AS v)", "mut-pct": f"(SELECT '{tally[1]}' AS v)", "notitle": of("missing_counts", "CAST(untitled AS VARCHAR)"),
+        **{k: of("ablation", "printf('%.1f%%', acc * 100)", f"WHERE name = '{n}'") for k, n in (("pixel-acc", "pixels"), ("both-acc", "x+y+pixels"))},
+        "pixel-best-auc": of("feature_auc", "printf('%.3f', max(auc_free))"),
+    }
+    return " UNION ALL ".join(f"SELECT '{k}' AS key, v AS text FROM {q}" for k, q in rows.items())
+
+
+@query(_scalar_sql())
+def page_scalars(spark, d):
+    """The other named numbers as text."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("key"), F.col("v").alias("text")) for k, df in _more_scalars(spark, d).items()])
+
+
+@query(f"WITH {_PAP}, o AS (SELECT DISTINCT f, title FROM papers) SELECT o.f AS f, count(*) AS titles FROM o WHERE f IN (SELECT f FROM pap) GROUP BY 1")
+def known_titles(spark, d):
+    """Titles written for papers in force; those of unknown papers are left out."""
+    written = load(spark, d, "papers").select("f", "title").distinct()
+    return written.join(papers(spark, d).select("f"), "f", "left_semi").groupBy("f").agg(F.count("*").alias("titles"))
+
+
+@query(f"WITH {_FIG}, t AS (SELECT n AS label, min(id) AS id FROM fig GROUP BY 1) SELECT fig.id AS id, t.id AS first_id FROM fig JOIN t ON t.label = fig.n")
+def first_of_name(spark, d):
+    """Every figure with the first one of its name."""
+    f = figures(spark, d, "n")
+    first = f.groupBy("n").agg(F.min("id").alias("first_id"))
+    return f.join(first, "n").select("id", "first_id")

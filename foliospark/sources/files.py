@@ -7,6 +7,8 @@ files and decoded on the executors, one file per row.
 from __future__ import annotations
 
 import io
+import json
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -104,6 +106,42 @@ def with_fallback(df: DataFrame, listing: DataFrame, primary: str, fallback: str
     return df.join(there, df[primary] == F.col("__n"), "left").withColumn("source", F.when(F.col("__n").isNotNull(), F.col(primary)).otherwise(F.col(fallback))).drop("__n")
 
 
+def write_document(sections: dict[str, DataFrame], path: str) -> None:
+    """All sections as one compact JSON document {section: [row, ...]} at a local path, replaced if it is there.
+
+    One document has one writer; rows come to it partition by partition, so the driver never holds a whole section.
+    """
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as out:
+        for i, (name, df) in enumerate(sections.items()):
+            out.write(("," if i else "{") + json.dumps(name) + ":[")
+            for k, row in enumerate(df.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()):
+                out.write(("," if k else "") + row[0])
+            out.write("]")
+        out.write("}" if sections else "{}")
+
+
+def read_document(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Sections of JSON documents {section: [row, ...]}; schemas: section -> its columns. A missing section is empty, a
+    document that can't be parsed is an error."""
+    doc = spark.read.schema(", ".join(f"`{n}` array<struct<{', '.join(_field(c) for c in s.split(', '))}>>" for n, s in schemas.items())).json(path, multiLine=True, mode="FAILFAST")
+    return {n: doc.select(F.explode(n).alias("x")).select("x.*") for n in schemas}
+
+
+def _field(column: str) -> str:
+    name, kind = column.split(" ", 1)
+    return f"{name}:{kind}"
+
+
+def class_images(spark: SparkSession, files: DataFrame, generated: str, real: str) -> DataFrame:
+    """(name, path, content): the image of each file (n, is_generated) from the folder of its class; null content where
+    there is none."""
+    found = read_images(spark, [generated, real])
+    at = F.regexp_replace(found["path"], r"^file:/*", "/")
+    want = files.select(F.col("n").alias("name"), F.concat(F.when(F.col("is_generated"), generated.rstrip("/") + "/").otherwise(real.rstrip("/") + "/"), F.col("n")).alias("path"))
+    return want.join(found.select(at.alias("path"), "content"), "path", "left").select("name", "path", "content")
+
+
 def write_bundle(sections: dict[str, DataFrame], folder: str) -> None:
     """Each section as compact JSON lines in a folder of its name, replaced if it is there; written by all tasks."""
     for name, df in sections.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The audited tallies of author affiliations.
+# Audited tallies of author affiliations, clusters, structure, names and similarities.
 AFFILIATIONS = [
     ("Hallucinated (institution does not exist)", 107, "fake"), ("Mutated (real institution, wrong name)", 77, "mutated"), ("Stanford", 44, "real"),
     ("None listed", 23, "none"), ("U Toronto", 23, "real"), ("MIT", 19, "real"), ("UC Berkeley", 16, "real"), ("Google / DeepMind", 15, "real"),
@@ -13,6 +13,17 @@ AFFILIATIONS = [
 ]
 
 
+CLUSTERS = [(1, "Object detection", 21), (2, "Semantics / segmentation", 25), (3, "Image generation", 12), (4, "Localization / spatiotemporal", 18), (5, "Visual features / networks", 24)]
+STRUCTURE = [("All features present", 69), ("Missing title", 19), ("Missing references", 8), ("Missing affiliations", 7)]
+NAMES = {
+    "last": [("Chen", 28), ("Zhang", 17), ("Wang", 11), ("Liu", 11), ("Lee", 10), ("Thompson", 9), ("Johnson", 9), ("Nguyen", 8), ("Smith", 8), ("Patel", 8), ("Doe", 7), ("Wu", 6), ("Wong", 5), ("Li", 5), ("Kim", 5), ("Xu", 5)],
+    "first": [("Michael", 20), ("David", 17), ("Emily", 13), ("John", 13), ("Kevin", 11), ("Laura", 9), ("Rachel", 8), ("Alex", 7), ("Daniel", 6), ("Eric", 6), ("Jane", 6), ("Jason", 5), ("Thomas", 5), ("Alice", 5), ("James", 5)],
+    "full": [("Kevin Chen", 4), ("David Chen", 4), ("John Doe", 4), ("Jacob Wang", 3), ("Emily Chen", 3), ("John Smith", 3), ("Jane Doe", 3), ("Alice Johnson", 3), ("Jane Smith", 3)],
+}
+SIMILARITIES = [("g2r", 0.44537696), ("g2g", 0.49628806), ("r2r", 0.4854793)]
+AUTHORS, AFFILIATED = 340, 317
+
+
 def file_list(spark: SparkSession, prefix: str, n: int, suffix: str = ".png") -> DataFrame:
     """(name, i) for i = 1..n."""
     return spark.range(1, n + 1).select(F.concat(F.lit(prefix), F.col("id").cast("string"), F.lit(suffix)).alias("name"), F.col("id").alias("i"))

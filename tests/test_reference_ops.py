@@ -232,3 +232,96 @@ def test_entry_without_the_optional_subpackage():
 
     code = "import sys; sys.modules['foliospark.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p2_found' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_documents_and_class_images(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x\"y", None), (2, "ü", 0.5)], "id bigint, n string, v double")
+    files.write_document({"rows": a, "none": a.limit(0)}, str(tmp_path / "d/doc.json"))
+    text = (tmp_path / "d/doc.json").read_text()
+    assert text.count("\n") == 0 and text.startswith('{"rows":[{"id":1')
+    got = files.read_document(spark, str(tmp_path / "d/doc.json"), {"rows": "id bigint, n string, v double", "none": "id bigint", "gone": "id bigint"})
+    assert sorted(map(tuple, got["rows"].collect())) == [(1, 'x"y', None), (2, "ü", 0.5)] and got["none"].count() == 0 and got["gone"].count() == 0
+    (tmp_path / "bad.json").write_text('{"rows": [')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_document(spark, str(tmp_path / "bad.json"), {"rows": "id bigint"})["rows"].collect()
+    for folder in ("gen", "real"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "gen/a.png").write_bytes(I.encode_png(np.full((2, 2, 3), 255, np.uint8)))
+    (tmp_path / "real/a.png").write_bytes(I.encode_png(np.zeros((2, 2, 3), np.uint8)))
+    want = spark.createDataFrame([("a.png", True), ("a.png", False), ("b.png", True)], "n string, is_generated boolean")
+    rows = {(r["name"], r["path"].split("/")[-2]): r["content"] for r in files.class_images(spark, want, str(tmp_path / "gen"), str(tmp_path / "real")).collect()}
+    assert I.decode_png(bytes(rows["a.png", "gen"])).max() == 255 and I.decode_png(bytes(rows["a.png", "real"])).max() == 0 and rows["b.png", "gen"] is None
+
+
+def _png(w, h, depth, colour, raw, interlaced=0, palette=b""):
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlaced)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_varieties_of_png():
+    rng = np.random.default_rng(0)
+    px = rng.integers(0, 256, (9, 11, 3)).astype(np.uint8)
+    assert (I.decode_png(I.encode_png(px)) == px).all()
+    # every filter
+    flat, raw = px.reshape(9, 33).astype(int), b""
+    for y in range(9):
+        kind, up = y % 5, flat[y - 1] if y else np.zeros(33, int)
+        left, corner = np.concatenate([np.zeros(3, int), flat[y][:-3]]), np.concatenate([np.zeros(3, int), up[:-3]])
+        p = left + up - corner
+        pick = [min((abs(g - a), 0, a), (abs(g - b), 1, b), (abs(g - c), 2, c))[2] for g, a, b, c in zip(p, left, up, corner)]
+        guess = (0, left, up, (left + up) // 2, np.array(pick))[kind]
+        raw += bytes([kind]) + ((flat[y] - guess) & 255).astype(np.uint8).tobytes()
+    assert (I.decode_png(_png(11, 9, 8, 2, raw)) == px).all()
+    # interlaced, 16 bits, one bit, palette of four bits, grey with alpha
+    raw = b""
+    for x0, y0, dx, dy in I._PASSES:
+        part = px[y0::dy, x0::dx]
+        raw += b"".join(b"\0" + row.tobytes() for row in part) if part.size else b""
+    assert (I.decode_png(_png(11, 9, 8, 2, raw, 1)) == px).all()
+    assert (I.decode_png(_png(11, 9, 16, 2, b"".join(b"\0" + np.repeat(row.ravel(), 2).tobytes() for row in px))) == px).all()
+    assert I.decode_png(_png(3, 1, 1, 0, b"\0\xa0")).tolist() == [[[255] * 3, [0] * 3, [255] * 3]]
+    assert I.decode_png(_png(3, 1, 4, 3, b"\0\x10\x20", palette=bytes([1, 2, 3, 4, 5, 6, 7, 8, 9]))).tolist() == [[[4, 5, 6], [1, 2, 3], [7, 8, 9]]]
+    assert I.decode_png(_png(2, 1, 8, 4, b"\0\x10\xff\x20\x00")).tolist() == [[[16] * 3, [32] * 3]]
+    for bad in (b"", b"\x89PNG\r\n\x1a\n", _png(2, 1, 8, 2, b"\x09" + b"\0" * 6)):
+        with pytest.raises(ValueError):
+            I.decode_png(bad)
+
+
+def test_orders_scales_and_ticks(spark):
+    keys = spark.createDataFrame([(k,) for k in ("b", "10pm", "2", None, "a", "2", "-1x")], "key string")
+    got = [r["key"] for r in R.mixed_order(keys, "key").orderBy("place").collect()]
+    assert got == ["-1x", "2", "2", "10pm", None, "a", "b"]
+    row = spark.range(1).select(X.scaled(F.lit(5.0), (0, 10), (100, 200)).alias("a"), X.scaled(F.lit(150.0), (100, 200), (0, 10)).alias("b"), X.scaled(F.lit(1.0), (3, 3), (0, 1)).alias("c"), X.ticks(F.lit(2.0), F.lit(2.0), 5).alias("d")).head()
+    assert (row["a"], row["b"], row["c"], row["d"]) == (150.0, 5.0, None, [2.0, 2.0])
+
+
+def test_sets_against_refits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) * [1, 5, 0.01]
+    y = (x[:, 0] + x[:, 1] / 5 + rng.normal(size=60) > 0).astype(int)
+    rows = [(int(c), *map(float, p)) for c, p in zip(y, x)] + [(1, None, 1.0, 1.0), (0, float("nan"), 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double")
+    got = {r["name"]: (r["hits"], r["n"]) for r in L.leave_one_out_sets(df, {"a": ["a"], "ab": ["a", "b"], "abc": ["a", "b", "c"]}, "y", unit=["c"]).collect()}
+
+    def refits(cols, unit):
+        z = x[:, cols] / [x[:, c].std() if c in unit else 1 for c in cols]
+        hits = 0
+        for i in range(60):
+            k = np.arange(60) != i
+            m0, m1 = z[k & (y == 0)].mean(0), z[k & (y == 1)].mean(0)
+            w = np.linalg.solve(np.atleast_2d(np.cov(z[k].T)) + 1e-6 * np.eye(len(cols)), m1 - m0)
+            hits += int(w @ z[i] > (w @ m0 + w @ m1) / 2) == y[i]
+        return hits, 60
+
+    assert got == {"a": refits([0], []), "ab": refits([0, 1], []), "abc": refits([0, 1, 2], [2])}
+    empty = {r["name"]: (r["hits"], r["n"]) for r in L.leave_one_out_sets(df.limit(0), {"a": ["a"]}, "y").collect()}
+    assert empty == {"a": (0, 0)}
+
+
+def test_hubs_and_medians(spark):
+    edges = spark.createDataFrame([(i % 7, 3) for i in range(3000)] + [(1, 99), (None, 3), (2, 2)], "s bigint, t bigint")
+    nodes = spark.createDataFrame([(i, i % 2) for i in range(7)], "id bigint, c int")
+    ends = G.with_ends(edges, nodes, "id", "c")
+    assert ends.count() == 3001 and ends.filter("vs = s % 2 and vt = t % 2").count() == 3001
+    long = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 1.0), ("b", 4.0), ("b", 1.0), ("c", 7.0)], "feature string, v double")
+    assert {r["feature"]: r["med"] for r in S.summary(long).collect()} == {"a": 1.0, "b": 2.5, "c": 7.0} and S.summary(long.limit(0)).count() == 0
