@@ -30,7 +30,7 @@ from foliospark.sources.tables import checkpointed, safe_key
 _LOG = logging.getLogger(__name__)
 HASHED = 1 << 12
 #: Labelled documents, about, on which the softmax over the scores is fitted; the counts cover all of them.
-CALIBRATED = 20_000
+CALIBRATED = 8_192
 #: Odds by which a written source outweighs the text.
 LABEL_ODDS = 1e12
 #: Posteriors below this are none.

@@ -235,6 +235,15 @@ def read_pages(texts: list[str], fields: list[str], models: dict[str, BoostedTre
     return out
 
 
+#: What stands between two lines, as one letter.
+_GLUES = {"": "0", " ": "1", "\n": "2", "\n\n": "3"}
+_GLUE_OF = {v: k for k, v in _GLUES.items()}
+
+
+def _flags(marks) -> str:
+    return "".join("1" if x else "0" for x in marks)
+
+
 def _marked(line: str) -> bool:
     s = line.rstrip()
     return len(s) > 1 and s[-1] in MARKS and not s[-2].isspace()
@@ -539,12 +548,17 @@ def mend(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFra
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), *models.value)
-            rows = [(row, k, field, *page) for row, k, field, page in zip(pdf["row"], pdf["k"], pdf["field"], read_all)]
-            yield pd.DataFrame(rows, columns=["row", "k", "field", "header", "pageno", "seen", "breaks", "body", "goes_on", "glue"])
-
-    pages = checkpointed(long.mapInPandas(read, f"row bigint, k {kind}, field string, header boolean, pageno boolean, seen array<struct<w:string,c:boolean>>, breaks array<struct<a:string,b:string>>, body array<string>, goes_on array<boolean>, glue array<string>"))
-    seen = pages.select("row", "k", "field", F.explode("seen").alias("x")).select("row", "k", "field", F.col("x.w").alias("token"), F.col("x.c").alias("capital"), F.lower("x.w").alias("w"))
-    counts = pages.select(F.explode(F.array_distinct(F.transform("seen", lambda x: F.lower(x["w"])))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+            # words and lines hold no line end, so one text carries a list of them, which costs Arrow least
+            rows = [
+                (row, k, field, header, pageno, "\n".join(w for w, _ in seen), _flags(c for _, c in seen), breaks, "\n".join(body), _flags(goes_on), "".join(_GLUES[g] for g in glue))
+                for row, k, field, (header, pageno, seen, breaks, body, goes_on, glue) in zip(pdf["row"], pdf["k"], pdf["field"], read_all)
+            ]
+            yield pd.DataFrame(rows, columns=["row", "k", "field", "header", "pageno", "seen", "capital", "breaks", "body", "goes_on", "glue"])
+
+    pages = checkpointed(long.mapInPandas(read, f"row bigint, k {kind}, field string, header boolean, pageno boolean, seen string, capital string, breaks array<struct<a:string,b:string>>, body string, goes_on string, glue string"))
+    words_in = pages.filter("seen <> ''")
+    seen = words_in.select("row", "k", "field", "capital", F.posexplode(F.split("seen", "\n")).alias("at", "token")).select("row", "k", "field", "token", (F.substring("capital", F.col("at") + 1, F.lit(1)) == "1").alias("capital"), F.lower("token").alias("w"))
+    counts = words_in.select(F.explode(F.array_distinct(F.split(F.lower("seen"), "\n"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     broken = checkpointed(pages.select("row", "k", "field", F.explode("breaks").alias("x")).select("row", "k", "field", "x.a", "x.b"))
     forms = broken.select(F.explode(F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b"))).alias("w")).select(F.lower("w").alias("w")).distinct()
     words = counts.withColumn("trusted", F.lit(True)).unionByName(forms.join(counts, "w", "left_anti").select("w", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("trusted")))
@@ -584,7 +598,7 @@ def mend(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFra
             for body, goes_on, glue, fix, join in zip(pdf["body"], pdf["goes_on"], pdf["glue"], pdf["fixes"], pdf["joins"]):
                 right = {x["token"]: x["v"] for x in (fix if fix is not None else ())}
                 whole = {(x["a"], x["b"]): recased(x["token"], x["right"], False) if x["misread"] else x["token"] for x in (join if join is not None else ())}
-                texts.append(mended(list(body), list(goes_on), list(glue), right, whole))
+                texts.append(mended(body.split("\n") if glue else [], [x == "1" for x in goes_on], [_GLUE_OF[x] for x in glue], right, whole))
             yield pdf[["k", "field"]].assign(text=texts)
 
     texts = pages.select("row", "k", "field", "body", "goes_on", "glue").join(words_of, "row", "left").join(joins_of, "row", "left")
