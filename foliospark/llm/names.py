@@ -149,7 +149,7 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
         met = keys.join(state, "fid").groupBy("key", "eid").agg(F.min("short").alias("short"))
         if changed is not None:  # only blocks with a profile that grew can bring anything new
             met = met.join(met.join(changed, "eid", "left_semi").select("key").distinct(), "key", "left_semi")
-        met = met.join(prof.select("eid", F.struct("listed", "breadth", "weight", "eid").alias("rich")), "eid")
+        met = checkpointed(met.join(prof.select("eid", F.struct("listed", "breadth", "weight", "eid").alias("rich")), "eid"))
         top = met.groupBy("key").agg(F.max("rich").alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
         near = met.join(top, "key").filter("eid <> top.eid").groupBy("eid", "top").agg(F.min("short").alias("short"))
         a = prof.select("eid", F.col("marks").alias("mine"), F.col("listed").alias("listed_a"))
@@ -162,7 +162,7 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
         if not link.head(1):
             best = base.join(state, "fid").select("form", "eid", F.struct("listed", F.size("marks"), F.aggregate("marks", F.lit(0).cast("bigint"), lambda t, x: t + x["w"]), "form").alias("rich"))
             named = best.groupBy("eid").agg(F.max("rich").alias("rich")).select("eid", F.col("rich.form").alias("entity"))
-            return best.join(named, "eid").select("form", "entity")
+            return checkpointed(best.join(named, "eid").select("form", "entity"))
         # a parent that is itself merged in this round hands its children on; richer is a strict order, so there is no circle
         while True:
             up = link.select(F.col("child").alias("parent"), F.col("parent").alias("upper"))
@@ -181,13 +181,13 @@ def author_entities(values: DataFrame) -> DataFrame:
     taught = people.filter("nick <> '' and given <> ''").groupBy(F.col("nick").alias("given"), F.substring("given", 1, 1).alias("i")).agg(F.sum("n").alias("w"))
     fixed = people.sparkSession.createDataFrame([(k, c, 1) for k, v in NICKNAMES.items() for c in v], "given string, i string, w bigint")
     nicks = taught.unionByName(fixed).groupBy("given", "i").agg(F.sum("w").alias("w"))
-    cand = people.join(nicks, "given", "left").select("value", "n", "surname", F.coalesce("i", F.substring("given", 1, 1)).alias("i"), F.coalesce("w", F.lit(0)).alias("w"))
+    cand = checkpointed(people.join(nicks, "given", "left").select("value", "n", "surname", F.coalesce("i", F.substring("given", 1, 1)).alias("i"), F.coalesce("w", F.lit(0)).alias("w")))
     initials = cand.filter("i is not null").groupBy(F.col("surname").alias("form"), "i").agg(F.sum("n").alias("w"))
     forms = initials.groupBy("form").agg(F.collect_list(F.struct(F.col("i").alias("m"), "w")).alias("marks"))  # an alphabet at most
     ent = merge_and_rematch(forms)
     known = cand.join(ent, cand["surname"] == ent["form"]).select("value", "n", "entity", "i", "w")
     # a nickname of several names goes to the one under which the merged surname is known best
-    known = known.withColumn("k", F.count("*").over(Window.partitionBy("value")))
+    known = checkpointed(known.withColumn("k", F.count("*").over(Window.partitionBy("value"))))
     support = known.filter("k = 1").groupBy("entity", "i").agg(F.sum("n").alias("s"))
     known = known.join(support, ["entity", "i"], "left")
     best = known.groupBy("value").agg(F.max_by(F.struct("entity", "i"), F.struct(F.coalesce("s", F.lit(0)), "w", "i")).alias("x"))
@@ -215,7 +215,7 @@ def org_entities(values: DataFrame, entries: DataFrame | None = None) -> DataFra
     written = F.struct(F.lit("written").alias("m"), F.greatest(F.col("n"), F.lit(1)).alias("w"))
     forms = forms.select("form", "listed", F.when(F.col("listed"), F.array(written, F.struct(F.lit("listed").alias("m"), F.lit(1).cast("bigint").alias("w")))).otherwise(F.array(written)).alias("marks"))
     ent = merge_and_rematch(forms)
-    named = orgs.filter("form <> ''").join(ent, "form").select("value", "n", "acronym", "entity")
+    named = checkpointed(orgs.filter("form <> ''").join(ent, "form").select("value", "n", "acronym", "entity"))
     # an acronym written beside a name joins that profile; alone it stands for the profile that it was written with most
     teach = named.filter("acronym <> ''").groupBy("acronym", "entity").agg(F.sum(F.col("n") + 1000 * (F.col("n") == 0).cast("int")).alias("w"))
     teach = teach.groupBy("acronym").agg(F.max_by("entity", F.struct("w", "entity")).alias("entity"))
@@ -229,8 +229,9 @@ def same_pairs(entities: DataFrame, kind: str, per_task: int = 2_000) -> DataFra
     entities, (value, entity), is the result of the resolution; the pairs are its expansion. An entity with more than
     per_task spellings is cut into salts of about as many, so no task gets all pairs of one.
     """
+    entities = checkpointed(entities)
     sizes = entities.groupBy("entity").agg(F.ceil(F.count("*") / per_task).alias("salts"))
-    salted = entities.join(sizes, "entity")
+    salted = checkpointed(entities.join(sizes, "entity"))
     a = salted.select("entity", F.pmod(F.xxhash64("value"), "salts").alias("salt"), F.col("value").alias("name_a"))
     b = salted.select("entity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("value").alias("name_b"))
     return a.join(b, ["entity", "salt"]).filter("name_a < name_b").select(F.lit(kind).alias("kind"), "name_a", "name_b")
