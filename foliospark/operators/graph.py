@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 4096
+#: Edges of a node from which it is a hub, and hubs split off at most.
+HUB_EDGES, HUBS = 100_000, 1_000
 #: Similarities that a task holds at a time.
 PRODUCTS = 4_000_000
 
 
-def with_ends(edges: DataFrame, nodes: DataFrame, node_id: str, value: str) -> DataFrame:
+def with_ends(edges: DataFrame, nodes: DataFrame, node_id: str, value: str, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Edges (s, t, ...) with the value of both ends as vs and vt; edges with an unknown end fall away.
 
-    Hubs, ends of more edges than an average shuffle partition has, are no more than twice the partitions: their values
-    meet the edges by broadcast, those of the other nodes by shuffle.
+    The values of hubs, ends of more than hub_edges edges, meet the edges by broadcast, those of the other nodes by
+    shuffle. At most HUBS are split off, the greatest; the split changes no result.
     """
-    parts = max(256, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = edges.select(F.explode(F.array("s", "t")).alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
-    top = ends.orderBy(F.desc("n")).limit(2 * parts)  # hubs are among these; each task sends on its own
-    total = ends.agg(F.sum("n").alias("all"))
-    hubs = [r[0] for r in top.crossJoin(F.broadcast(total)).filter(F.col("n") > F.greatest(F.lit(1_000), F.col("all") / 2 / parts)).select("k").collect()]  # one row
+    hubs = [r[0] for r in ends.filter(F.col("n") > hub_edges).orderBy(F.desc("n")).limit(HUBS).select("k").collect()]
     value_of = nodes.select(F.col(node_id).alias("k"), F.col(value).alias("v"))
     for end, v in (("s", "vs"), ("t", "vt")):
         named = value_of.select(F.col("k").alias(end), F.col("v").alias(v))

@@ -24,10 +24,10 @@ def summary(long: DataFrame, by: str = "feature", value: str = "v") -> DataFrame
     The median is the mean of the middle ranks, which range-partitioned running counts give: no task gets all values.
     """
     v = F.col(value)
-    rows = checkpointed(long.select(by, v.alias("__v")))
-    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"), F.min("__v").alias("min"), F.max("__v").alias("max"))
-    ranks = ordinal_ranks(rows.groupBy(by, "__v").agg(F.count("*").alias("__k")), by, ["__v"], weight=F.col("__k"))
-    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    stats = long.groupBy(by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    counts = checkpointed(long.groupBy(by, v.alias("__v")).agg(F.count("*").alias("__k")))
+    ranks = ordinal_ranks(counts, by, ["__v"], weight=F.col("__k"))
+    sizes = counts.groupBy(by).agg(F.sum("__k").alias("__n"))
     lo, hi = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
     within = lambda r: ((F.col("rank") >= r) & (F.col("rank") - F.col("__k") < r)).cast("int")
     middle = ranks.join(F.broadcast(sizes), by).select(by, "__v", (within(lo) + within(hi)).alias("__w")).filter("__w > 0")  # a row per group

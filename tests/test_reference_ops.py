@@ -321,7 +321,8 @@ def test_sets_against_refits(spark):
 def test_hubs_and_medians(spark):
     edges = spark.createDataFrame([(i % 7, 3) for i in range(3000)] + [(1, 99), (None, 3), (2, 2)], "s bigint, t bigint")
     nodes = spark.createDataFrame([(i, i % 2) for i in range(7)], "id bigint, c int")
-    ends = G.with_ends(edges, nodes, "id", "c")
-    assert ends.count() == 3001 and ends.filter("vs = s % 2 and vt = t % 2").count() == 3001
+    for hub in (100_000, 1_000, 10):
+        ends = G.with_ends(edges, nodes, "id", "c", hub)
+        assert ends.count() == 3001 and ends.filter("vs = s % 2 and vt = t % 2").count() == 3001
     long = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 1.0), ("b", 4.0), ("b", 1.0), ("c", 7.0)], "feature string, v double")
     assert {r["feature"]: r["med"] for r in S.summary(long).collect()} == {"a": 1.0, "b": 2.5, "c": 7.0} and S.summary(long.limit(0)).count() == 0
