@@ -35,7 +35,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split_values(papers, "f", {"authors": "people", "aff": "places", "refs": "entries"}).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_orphan_report": p1_orphan_report, "p4_found": p4_found}
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Fields whose positions aren't 1, 2, 3 ..., values that are blank or 'None' alone in their field, and values with
+    outer or repeated white space: any right result has none."""
+    rows = p4_found(spark, d)
+    fields = rows.groupBy("f", "field").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("k"), F.max("pos").alias("last"), F.min("pos").alias("first"), F.min("value").alias("v"))
+    gaps = fields.agg(F.count_if((F.col("n") != F.col("k")) | (F.col("n") != F.col("last")) | (F.col("first") != 1)).alias("gaps"), F.count_if((F.col("n") == 1) & (F.col("v") == "None")).alias("nothing"))
+    loose = rows.agg(F.count_if(F.col("value").rlike(r"(?U)^\s|\s$|\s\s|^$")).alias("loose"))
+    return gaps.crossJoin(loose)  # two single rows
+
+
+QUERIES = {"p1_found": p1_found, "p1_orphan_report": p1_orphan_report, "p4_found": p4_found, "p4_checks": p4_checks}
 
 _REFS = r"""
 WITH refs AS (
@@ -56,6 +66,7 @@ WITH refs AS (
 """
 
 SQL = {
+    "p4_checks": "SELECT 0 AS gaps, 0 AS nothing, 0 AS loose",
     "p1_found": _REFS + "SELECT DISTINCT tbl, link_id, side FROM dead",
     "p1_orphan_report": _REFS + "SELECT tbl, strftime(loaded_at, '%Y-%m') AS period, side, count(DISTINCT link_id) AS orphans FROM dead GROUP BY 1, 2, 3",
 }
