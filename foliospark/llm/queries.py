@@ -11,7 +11,7 @@ from foliospark.llm.mixing import memberships, mix, reached
 from foliospark.llm.names import author_entities, org_entities, same_pairs
 from foliospark.llm.neighbours import nearest
 from foliospark.llm.packing import pack
-from foliospark.llm.scans import repaired_texts, repairs
+from foliospark.llm.scans import mend, repaired_texts, repairs
 from foliospark.llm.tokens import sized
 from foliospark.operators.split_values import split_values
 from foliospark.sources.tables import checkpointed, load
@@ -102,6 +102,26 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 # --- properties that any right result has, checked by SQL ------------------------------------------------------------
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of equal or misordered spellings, pairs of which one spelling has more partners than the other, which a group
+    can't have, and spellings in pairs that no paper has."""
+    pairs = checkpointed(p2_found(spark, d))
+    ends = pairs.select("kind", F.explode(F.array("name_a", "name_b")).alias("name"))
+    partners = checkpointed(ends.groupBy("kind", "name").agg(F.count("*").alias("k")))
+    both = pairs.join(partners.select("kind", F.col("name").alias("name_a"), F.col("k").alias("a")), ["kind", "name_a"]).join(partners.select("kind", F.col("name").alias("name_b"), F.col("k").alias("b")), ["kind", "name_b"])
+    values = split_values(load(spark, d, "papers").select("f", "authors", "aff"), "f", {"authors": "people", "aff": "places"})
+    there = values.select(F.when(F.col("field") == "authors", "author").otherwise("aff").alias("kind"), F.col("value").alias("name")).distinct()
+    unknown = partners.join(there, ["kind", "name"], "left_anti").agg(F.count("*").alias("unknown"))
+    return both.agg(F.count_if(F.col("name_a") >= F.col("name_b")).alias("misordered"), F.count_if(F.col("a") != F.col("b")).alias("unequal")).crossJoin(unknown)  # single rows
+
+
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired words that their repaired text hasn't, repairs of fields without text, and texts with a break of a word left."""
+    texts, made = mend(load(spark, d, "papers").select("f", "title", "abstract", "refs"), "f", ["title", "abstract", "refs"])
+    both = made.join(texts, ["f", "field"], "left").agg(F.count_if(F.col("text").isNull()).alias("lost"), F.count_if(~F.contains("text", "repaired")).alias("missing"))
+    return both.crossJoin(texts.agg(F.count_if(F.col("text").rlike("[\u00ac\u00ad][\r\n]")).alias("broken")))  # two single rows
+
+
 def p5_checks(spark: SparkSession, d: str) -> DataFrame:
     """Figures with a point, those that come with fewer than 8 others, pairs out of order, and pairs with unknown ids."""
     good = load(spark, d, "figures").select("id", "x", "y", "z").filter("id is not null and x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z)").select("id").distinct()
@@ -161,8 +181,10 @@ def p9_checks(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(some, "size_limit", "left").select("size_limit", zero("over"), zero("gaps"), zero("uncovered"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_soft_shares": p8_soft_shares, "p9_pieces": p9_pieces, "p5_checks": p5_checks, "p6_checks": p6_checks, "p7_checks": p7_checks, "p8_checks": p8_checks, "p9_checks": p9_checks}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_soft_shares": p8_soft_shares, "p9_pieces": p9_pieces, "p2_checks": p2_checks, "p3_checks": p3_checks, "p5_checks": p5_checks, "p6_checks": p6_checks, "p7_checks": p7_checks, "p8_checks": p8_checks, "p9_checks": p9_checks}
 SQL: dict[str, str] = {
+    "p2_checks": "SELECT 0 AS misordered, 0 AS unequal, 0 AS unknown",
+    "p3_checks": "SELECT 0 AS lost, 0 AS missing, 0 AS broken",
     "p5_checks": "SELECT count(DISTINCT id) AS figures, 0 AS short, 0 AS odd, 0 AS unknown FROM figures WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)",
     "p6_checks": "SELECT 0 AS wrong, 0 AS unknown",
     "p7_checks": "SELECT DISTINCT size_limit, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS divided, 0 AS twice, false AS loose FROM budgets WHERE task = 'pack'",
