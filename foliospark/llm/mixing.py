@@ -7,8 +7,8 @@ document is judged by the model without itself. A written source is one more fea
 
 Nonnegative rates, at most max_repeats, are fitted so that the expected tokens of each domain meet the targets: each
 step of the accelerated projected gradient is one pass over the documents and one row of totals a task. It starts from
-the solution on a summary of all documents in cells of like membership, and ends when the gap is closed, or when a lower
-bound proves that no rates would leave a smaller one. Rates become whole repeats by a threshold on each document's hash,
+the solution on a summary of all documents in cells of like membership, and ends when the gap is closed, when a lower
+bound proves that no rates would leave a smaller one, or when 50 steps have saved next to nothing. Rates become whole repeats by a threshold on each document's hash,
 found per domain on a histogram of the hashes, so that the tokens used meet the fitted totals to a document.
 """
 
@@ -49,6 +49,10 @@ CLOSE, LEAST = 1e-6, 1e-3
 WHOLE = 1e-6
 #: Steps after which a fit that is not there yet is given with a warning.
 STEPS = 2000
+#: The same for the summary, on which a step costs next to nothing.
+SUMMARY_STEPS = 20_000
+#: A fit that saves at most LEAST of its squared gap in so many steps is at its end too, though no bound proves it.
+STALL = 50
 #: Rounds in which shorter documents fill what is left.
 FILLS = 4
 
@@ -211,6 +215,7 @@ def _descend(totals: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, float]
     last = y = np.where(there, goal / scale, 0.0) if start is None else start
     r = np.zeros(len(goal)) if residual is None else residual
     potential, best, least, bound, wide, speed = y, r, math.inf, 0.0, math.inf, 1.0
+    before = math.inf
     for step in range(1, steps + 1):
         got, reach = totals(y, r)
         # weak duality: no rates have a smaller squared gap than this
@@ -221,6 +226,10 @@ def _descend(totals: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, float]
             least, potential, best, wide = float(gap @ r) / 2, y, r, float(np.abs(gap).max()) / total
         if wide <= CLOSE or least - bound <= LEAST * least:
             return potential, best, wide, step, True
+        if step % STALL == 0:
+            if before - least <= LEAST * least:
+                return potential, best, wide, step, True
+            before = least
         new = y + r
         if r @ (new - last) < 0:  # the momentum leads away
             speed, y = 1.0, new
@@ -326,7 +335,7 @@ def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: f
         out = np.sum([x[0] for x in rows.mapInArrow(run, "s array<double>").collect()] or [np.zeros(d + 1)], axis=0)
         return out[:d], float(out[d])
 
-    first, residual, _, _, _ = _descend(_on_cells(*_summary(members, d)), goal, scale, there)
+    first, residual, _, _, _ = _descend(_on_cells(*_summary(members, d)), goal, scale, there, steps=SUMMARY_STEPS)
     potential, _, wide, step, done = _descend(totals, goal, scale, there, first, residual)
     if not done:
         _LOG.warning("the fit of the rates has not converged after %d steps", STEPS)

@@ -16,12 +16,14 @@ Text: `mend` gives the whole repaired texts and the list of the repairs, both of
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,9 @@ class _Kept(dict):
             self[key] = v
         return v
 
+    def __reduce__(self):  # sent to tasks empty
+        return _Kept, (self.make,)
+
 
 def word(token: str) -> str:
     """A token without adjoining punctuation."""
@@ -496,10 +501,10 @@ def corrections(words: DataFrame) -> DataFrame:
     pairs = checkpointed(candidates(words))
     support = learned_confusions(pairs)
     sample = [(r[0], r[1]) for r in words.filter("trusted and n >= 3 and length(w) > 2").orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).select("w", "n").collect()]
-    shared = words.sparkSession.sparkContext.broadcast((train_ranker(sample, support), support))
+    shared = words.sparkSession.sparkContext.broadcast(cloudpickle.dumps((train_ranker(sample, support), support)))  # workers needn't have this package
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker, support_ = shared.value
+        ranker, support_ = pickle.loads(shared.value)
         for pdf in batches:
             x = np.array([rank_features(w, n, v, nv, support_, d) for w, n, v, nv, d in zip(pdf["w"], pdf["n"], pdf["v"], pdf["nv"], pdf["edits"])]).reshape(len(pdf), RANKED)
             yield pdf.assign(s=ranker.score(x))[["w", "v", "nv", "s"]]
@@ -543,11 +548,12 @@ def mend(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFra
     sample = [(r[0], r[1]) for r in clean.orderBy(F.xxhash64("k", "field"), "k").limit(SAMPLE_TEXTS).select("field", "text").collect()]
     found = Counter(t for f, x in sample if f == "refs" for t in re.findall(r"(?:\bin |[,.]\" |\. )([A-Z][^,.\d\"]{8,60}), (?:pp|vol)\.", x))
     titles = [t for t, _ in found.most_common(60)]
-    models = df.sparkSession.sparkContext.broadcast((train_lines(sample, titles, [x for f, x in sample if f == "title"], known), known))
+    models = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps((train_lines(sample, titles, [x for f, x in sample if f == "title"], known), known)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trained = pickle.loads(models.value)
         for pdf in batches:
-            read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), *models.value)
+            read_all = read_pages(pdf["text"].tolist(), pdf["field"].tolist(), *trained)
             # words and lines hold no line end, so one text carries a list of them, which costs Arrow least
             rows = [
                 (row, k, field, header, pageno, "\n".join(w for w, _ in seen), _flags(c for _, c in seen), breaks, "\n".join(body), _flags(goes_on), "".join(_GLUES[g] for g in glue))
