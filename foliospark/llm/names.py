@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.org_names import fold, normal
-from foliospark.sources.tables import checkpointed
+from foliospark.sources.tables import checkpointed, restarted
 
 #: A profile with more own initials than this is a surname of its own; in a form of under SHORT characters, where one
 #: character is much of a name, with any.
@@ -120,7 +120,8 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
     forms: (form, marks), one row per form, marks being array<struct<m string, w bigint>>, each m once; optionally
     `listed`: two listed profiles never merge. Instead of marks there may be (weight, breadth): as many marks of equal
     weight. Richer means listed, then more marks, then more weight; ties go by row. Empty input gives an empty result; null
-    and empty forms are ignored. Each round is written to the checkpoint folder, which cuts the lineage of the loop.
+    and empty forms are ignored. Each round is written to the checkpoint folder, which cuts the lineage of the loop;
+    what goes on to the next round also begins its size estimate anew.
     """
     if "marks" not in forms.columns:
         each = F.greatest(F.lit(1), (F.col("weight") / F.col("breadth")).cast("bigint"))
@@ -166,12 +167,12 @@ def merge_and_rematch(forms: DataFrame, own: int = OWN_INITIALS) -> DataFrame:
         # a parent that is itself merged in this round hands its children on; richer is a strict order, so there is no circle
         while True:
             up = link.select(F.col("child").alias("parent"), F.col("parent").alias("upper"))
-            step = checkpointed(link.join(up, "parent", "left").select("child", F.coalesce("upper", "parent").alias("parent"), F.col("upper").isNotNull().alias("moved")))
+            step = restarted(link.join(up, "parent", "left").select("child", F.coalesce("upper", "parent").alias("parent"), F.col("upper").isNotNull().alias("moved")))
             link = step.drop("moved")
             if not step.filter("moved").head(1):
                 break
         changed = link.select(F.col("parent").alias("eid")).distinct()
-        state = checkpointed(state.join(link, state["eid"] == link["child"], "left").select("fid", F.coalesce("parent", "eid").alias("eid")))
+        state = restarted(state.join(link, state["eid"] == link["child"], "left").select("fid", F.coalesce("parent", "eid").alias("eid")))
 
 
 def author_entities(values: DataFrame) -> DataFrame:

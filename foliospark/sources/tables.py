@@ -31,6 +31,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def restarted(df: DataFrame) -> DataFrame:
+    """df checkpointed, and its size unknown to the planner again; for what a loop carries from round to round.
+
+    checkpoint() keeps the estimated size of the plan it cuts. That of a join is the product of its sides, so in a loop
+    that joins its own results the digits of the estimate multiply each round, until the number alone fills the driver.
+    """
+    done = checkpointed(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
 def safe_key(df: DataFrame, name: str) -> tuple[Column, str, str]:
     """(column, its type, its type in the schema) of a key that goes through pandas: whole numbers go as text, for with a
     null among them pandas would make them floating-point numbers."""

@@ -103,3 +103,13 @@ def test_listed_stay_apart(spark):
 def test_pairs_of_a_large_entity(spark):
     ent = spark.createDataFrame([(f"v{i}", "e") for i in range(50)] + [("w", "f")], "value string, entity string")
     assert same_pairs(ent, "k", per_task=7).distinct().count() == same_pairs(ent, "k", per_task=7).count() == 50 * 49 // 2
+
+
+def test_estimates_of_many_rounds_stay_small(spark):
+    # a chain in which each form is an edit from the next takes several rounds; the planner's size of the result must not carry their products
+    chain = ["abcdefghijklmnop"]
+    for i in range(14):
+        chain.append(chain[-1][:i] + "XYZ"[i % 3] + chain[-1][i + 1 :])
+    got = merge_and_rematch(spark.createDataFrame([(f, 100 - 7 * i % 15, 1) for i, f in enumerate(chain)], "form string, weight bigint, breadth bigint"))
+    assert len({r[1] for r in got.collect()}) == 1
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
